@@ -1,0 +1,237 @@
+"""Row vectors, tri-states, validation, cost order, and random trees against the plain model."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from zoneframe.operators.zones import explain_zones
+from zoneframe.plans import predicate as p
+from zoneframe.plans.compile import compile_predicate, evaluate, matching, projected
+from zoneframe.types import Kind, StoreColumn, StoreSchema
+
+COLUMNS = [Kind.I32, Kind.I64, Kind.BIT, Kind.STR, Kind.I32, Kind.I32, Kind.BIT, Kind.BIT, Kind.I32, Kind.I32, Kind.FLT, Kind.FLT, Kind.DBL, Kind.DBL]
+FIXTURE = StoreSchema.build(StoreColumn(f"c{i}", k) for i, k in enumerate(COLUMNS))
+VALUES = [(i, i, i % 3 == 0, f"zf {i}", 5, 5, False, True, -10, -1 if i % 2 else 1, i / 10, 5.1, i / 100, 5.1) for i in range(10)]
+EVERY, NOTHING = list(range(10)), []
+
+
+@pytest.fixture(scope="module")
+def ten(spark):
+    return spark.createDataFrame(VALUES, FIXTURE.struct()).coalesce(1).cache()
+
+
+@pytest.fixture(scope="module")
+def flagged(spark):
+    """The first columns with NULL where the flags of the fixture say so."""
+    rows = [(None if i % 2 == 0 else i, None if i % 3 == 0 else i, None, f"zf {i}", i) for i in range(10)]
+    kinds = [Kind.I32, Kind.I64, Kind.BIT, Kind.STR, Kind.I32]
+    return spark.createDataFrame(rows, StoreSchema.build(StoreColumn(n, k) for n, k in zip("abcdi", kinds)).struct()).cache()
+
+
+def numbers(df, predicate):
+    return sorted(r[0] for r in matching(df, predicate).select(df.columns[0]).collect())
+
+
+def _ordered(column, eq, lt, gt, step):
+    v = (lambda n: n) if step == 1 else (lambda n: n * step)
+    return [
+        (lt(column, v(10)), EVERY),
+        (lt(column, v(0)), NOTHING),
+        (lt(column, v(4)), [0, 1, 2, 3]),
+        (gt(column, v(-1)), EVERY),
+        (gt(column, v(9) + (1e-9 if step != 1 else 0)), NOTHING),
+        (~eq(column, 3 / round(1 / step) if step != 1 else 3), [i for i in EVERY if i != 3]),
+        (p.all_of(gt(column, v(2) + (1e-9 if step != 1 else 0)), lt(column, v(8) - (1e-9 if step != 1 else 0))), [3, 4, 5, 6, 7]),
+        (p.any_of(lt(column, v(2) - (1e-9 if step != 1 else 0)), gt(column, v(8) + (1e-9 if step != 1 else 0))), [0, 1, 9]),
+    ] + [(eq(column, n / round(1 / step) if step != 1 else n), [n]) for n in range(4)]
+
+
+S, E, A = p.At.START, p.At.END, p.At.ANY
+ROWS = [
+    (p.true(), EVERY),
+    (~p.true(), NOTHING),
+    (p.bit_eq(2, True), [0, 3, 6, 9]),
+    (p.bit_eq(2, False), [1, 2, 4, 5, 7, 8]),
+    (p.bit_eq(6, False), EVERY),
+    (p.bit_eq(6, True), NOTHING),
+    (p.bit_eq(7, True), EVERY),
+    (p.bit_eq(7, False), NOTHING),
+    *_ordered(0, p.i32_eq, p.i32_lt, p.i32_gt, 1),
+    *_ordered(1, p.i64_eq, p.i64_lt, p.i64_gt, 1),
+    *_ordered(10, p.flt_eq, p.flt_lt, p.flt_gt, 0.1),
+    *_ordered(12, p.dbl_eq, p.dbl_lt, p.dbl_gt, 0.01),
+    (p.str_eq(3, "zf", False), NOTHING),
+    (p.str_eq(3, "zf 0", False), [0]),
+    (p.str_eq(3, "ZF 1", False), [1]),
+    (p.str_eq(3, "ZF 1"), NOTHING),
+    (p.str_lt(3, "zf", False), NOTHING),
+    (p.str_gt(3, "zf", False), EVERY),
+    (p.str_lt(3, "abc", False), NOTHING),
+    (p.str_gt(3, "abc", False), EVERY),
+    (p.str_lt(3, "zzz", False), EVERY),
+    (p.str_gt(3, "zzz", False), NOTHING),
+    *[(p.str_has(3, n, cs, at), want) for at in (S, A) for n, cs, want in [("zf", True, EVERY), ("zf", False, EVERY), ("ZF", False, EVERY), ("ZF", True, NOTHING), ("foo", False, NOTHING), ("zf 0", False, [0]), ("zf 2", False, [2])]],
+    *[(p.str_has(3, n, False, E), want) for n, want in [("zf", NOTHING), ("ZF", NOTHING), ("foo", NOTHING), ("0", [0]), ("ZF 0", [0]), ("1", [1])]],
+    (p.str_has(3, "", True, S), EVERY),
+    (p.custom(0, Kind.I32, rows=lambda c: c < 0), NOTHING),
+    (p.custom(8, Kind.I32, rows=lambda c: c < 0), EVERY),
+    (p.custom(9, Kind.I32, rows=lambda c: c < 0), [1, 3, 5, 7, 9]),
+    (~p.custom(9, Kind.I32, rows=lambda c: c < 0), [0, 2, 4, 6, 8]),
+    (p.custom(0, Kind.I32), NOTHING),
+]
+
+
+def test_row_vectors(ten):
+    schema = StoreSchema.of(ten.schema)
+    got = ten.select("c0", *(projected(q, schema).alias(f"q{k}") for k, (q, _) in enumerate(ROWS))).collect()
+    for k, (q, want) in enumerate(ROWS):
+        assert sorted(r["c0"] for r in got if r[f"q{k}"]) == want, q
+
+
+def test_arrow_custom(ten):
+    import pyarrow.compute as pc
+
+    assert numbers(ten, p.custom(9, Kind.I32, rows=lambda a: pc.less(a, 0), arrow=True)) == [1, 3, 5, 7, 9]
+
+
+def test_null_vectors(flagged):
+    def at(q):
+        return sorted(r["i"] for r in matching(flagged, q).collect())
+
+    assert at(p.is_null("a")) == [0, 2, 4, 6, 8]
+    assert at(p.is_null("b")) == [0, 3, 6, 9]
+    assert at(p.is_null("c")) == EVERY
+    assert at(p.is_null("d")) == NOTHING
+    assert at(p.i32_eq("a", 0)) == [0, 2, 4, 6, 8]  # NULL compares as 0
+    assert at(~p.i32_eq("a", 3)) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert at(p.bit_eq("c", False)) == EVERY
+    assert sorted(r["i"] for r in matching(flagged, ~p.i32_eq("a", 3), "sql").collect()) == [1, 5, 7, 9]
+
+
+STATES = [
+    (p.true(), 1), (p.bit_eq(2, True), 0), (p.bit_eq(2, False), 0), (p.bit_eq(6, False), 1), (p.bit_eq(6, True), -1), (p.bit_eq(7, True), 1),
+    *[x for c, eq, lt, gt in ((0, p.i32_eq, p.i32_lt, p.i32_gt), (1, p.i64_eq, p.i64_lt, p.i64_gt)) for x in [(lt(c, 10), 1), (lt(c, 0), -1), (lt(c, 5), 0), (gt(c, -1), 1), (gt(c, 9), -1), (gt(c, 5), 0), (eq(c, -1), -1), (eq(c, 10), -1), (eq(c, 9), 0)]],
+    (p.i32_eq(4, 5), 1),
+    (p.flt_lt(10, 1.0), 1), (p.flt_lt(10, 0.0), -1), (p.flt_lt(10, 0.5), 0), (p.flt_gt(10, -0.1), 1), (p.flt_gt(10, 0.9), -1), (p.flt_gt(10, 0.5), 0), (p.flt_eq(10, -0.1), -1), (p.flt_eq(10, 1.1), -1), (p.flt_eq(10, 0.9), 0), (p.flt_eq(11, 5.1), 1), (p.flt_eq(11, 10.0), -1),
+    (p.dbl_lt(12, 0.1), 1), (p.dbl_lt(12, 0.0), -1), (p.dbl_lt(12, 0.05), 0), (p.dbl_gt(12, 0.09), -1), (p.dbl_eq(12, 0.11), -1), (p.dbl_eq(13, 5.1), 1),
+    (p.str_eq(3, "foo"), -1), (p.str_eq(3, "zf 0"), 0), (p.str_eq(3, "zf 10"), -1), (p.str_lt(3, "a"), 0), (p.str_gt(3, "a"), 0), (p.str_has(3, "foo"), 0), (p.str_has(3, "zf 10"), -1),
+    (p.is_null(3), -1), (~p.is_null(3), 1),
+    (p.all_of(p.i32_lt(0, 10), p.i32_lt(0, 5)), 0), (p.any_of(p.i32_lt(0, 10), p.i32_lt(0, 5)), 1), (~p.all_of(p.i32_lt(0, 10), p.i32_lt(0, 0)), 1), (p.all_of(p.i32_lt(0, 10)), 1),
+    (p.custom(0, Kind.I32, zone=lambda a, b: F.when(b < 0, 1).when(a >= 0, -1).otherwise(0)), -1),
+    (p.custom(8, Kind.I32, zone=lambda a, b: F.when(b < 0, 1).when(a >= 0, -1).otherwise(0)), 1),
+    (p.custom(9, Kind.I32, zone=lambda a, b: F.when(b < 0, 1).when(a >= 0, -1).otherwise(0)), 0),
+]
+
+
+def test_zone_vectors(ten):
+    from zoneframe.operators.zones import zone_map, zone_match
+
+    schema = StoreSchema.of(ten.schema)
+    got = zone_map(ten, F.lit(0)).select(*(zone_match(q, schema).alias(f"q{k}") for k, (q, _) in enumerate(STATES))).first()
+    assert [(q, got[k]) for k, (q, _) in enumerate(STATES)] == STATES
+
+
+def test_validation():
+    for good in (p.true(), p.i32_eq(0, 100), p.is_null(0), p.all_of(p.true(), p.is_null(2)), p.i32_eq("c0", 1)):
+        p.validate(good, FIXTURE)
+    for bad in (p.i32_eq(1, 100), p.i32_eq(20, 1), p.is_null(20), p.is_null("none"), p.all_of(p.true(), p.i32_eq(1, 1)), p.any_of(p.is_null(99)), p.custom(1, Kind.I32)):
+        with pytest.raises(p.PredicateError):
+            p.validate(bad, FIXTURE)
+    for wrong in (lambda: p.all_of(), lambda: p.any_of([]), lambda: p.all_of(p.true(), None), lambda: p.i32_eq(0, 1 << 31), lambda: p.str_eq(0, "a\0b")):
+        with pytest.raises(ValueError):
+            wrong()
+    for wrong in (lambda: p.i32_eq(0, 1.5), lambda: p.bit_eq(0, 1), lambda: p.str_eq(0, 3), lambda: p.dbl_eq(0, "x")):
+        with pytest.raises(TypeError):
+            wrong()
+
+
+def test_cheapest_first():
+    first, last = p.custom(0, Kind.I32), p.custom(0, Kind.I32, cost=999)
+    long, text, both = p.i64_eq(1, 1), p.str_eq(3, "x"), p.all_of(p.i32_eq(0, 1), p.bit_eq(2, True))
+    got = p.cheapest_first(p.any_of(first, last, long, text, p.true(), both))
+    assert got.operands == (p.true(), first, p.all_of(p.bit_eq(2, True), p.i32_eq(0, 1)), long, text, last)
+
+
+TEXTS = ["za", "ab", "ba", "AB"]
+
+
+def test_string_vectors(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(TEXTS)], StoreSchema.build([StoreColumn("i", Kind.I32), StoreColumn("s", Kind.STR)]).struct())
+    for q, want in [
+        (p.str_eq(1, "foo", False), []), (p.str_eq(1, "", False), []), (p.str_eq(1, "ab"), [1]), (p.str_eq(1, "ab", False), [1, 3]), (p.str_eq(1, "ac"), []),
+        (p.str_gt(1, "x", False), [0]), (p.str_lt(1, "x", False), [1, 2, 3]), (p.str_has(1, "", False, S), [0, 1, 2, 3]), (p.str_has(1, "a", False, S), [1, 3]),
+        (p.str_has(1, "A", False, S), [1, 3]), (p.str_has(1, "a", True, S), [1]), (p.str_has(1, "x", False, S), []), (p.str_has(1, "z", True, E), []),
+        (p.str_has(1, "a", True, E), [0, 2]), (p.str_has(1, "b", False, E), [1, 3]), (p.str_has(1, "b", True, E), [1]), (p.str_has(1, "x", False, A), []),
+        (p.str_has(1, "a", True, A), [0, 1, 2]), (p.str_has(1, "a", False, A), [0, 1, 2, 3]),
+    ]:
+        assert numbers(df, q) == want, q
+
+
+KINDS = [Kind.I32, Kind.I64, Kind.BIT, Kind.FLT, Kind.DBL, Kind.STR]
+RANDOM = StoreSchema.build([StoreColumn("i", Kind.I32), *(StoreColumn(k.name, k) for k in KINDS)])
+
+
+def _value(rng, kind):
+    if kind is Kind.BIT:
+        return rng.random() < 0.5
+    if kind is Kind.STR:
+        return rng.choice(["", "a", "ab", "AB", "aB", "b", "É", "é", "éa", "zz", "a b"])
+    if kind in (Kind.FLT, Kind.DBL):
+        return rng.choice([0.0, -0.0, 0.5, -0.5, 1.0, 2.0, -3.0, math.nan, math.inf, -math.inf])
+    return rng.randint(-3, 3)
+
+
+def _tree(rng, depth):
+    if depth and rng.random() < 0.6:
+        q = rng.choice([p.all_of, p.any_of])(*(_tree(rng, depth - 1) for _ in range(rng.randint(1, 3))))
+    else:
+        kind = rng.choice(KINDS)
+        roll = rng.random()
+        if roll < 0.1:
+            q = p.true()
+        elif roll < 0.25:
+            q = p.is_null(kind.name)
+        elif kind is Kind.STR:
+            cs = rng.random() < 0.5
+            make = rng.choice([p.str_eq, p.str_lt, p.str_gt, p.str_has])
+            q = make(kind.name, _value(rng, kind), cs, *([rng.choice(list(p.At))] if make is p.str_has else []))
+        else:
+            op = "eq" if kind is Kind.BIT else rng.choice(["eq", "lt", "gt"])
+            q = getattr(p, f"{kind.name.lower()}_{op}")(kind.name, _value(rng, kind))
+    return ~q if rng.random() < 0.4 else q
+
+
+def test_random_trees(spark):
+    """Rows and zones of 120 trees, NULL and NaN heavy, against the two-valued model."""
+    rng = random.Random(3)
+    rows = [(i, *(None if rng.random() < 0.25 else _value(rng, k) for k in KINDS)) for i in range(240)]
+    trees = [_tree(rng, 3) for _ in range(120)]
+    df = spark.createDataFrame(rows, RANDOM.struct()).cache()
+    got = {r["i"]: r for r in df.select("i", *(projected(q, RANDOM).alias(f"q{k}") for k, q in enumerate(trees))).collect()}
+    for k, q in enumerate(trees):
+        assert [got[r[0]][f"q{k}"] for r in rows] == [evaluate(q, RANDOM, r) for r in rows], q
+    for q in trees[:30]:
+        want = [evaluate(q, RANDOM, r) for r in rows]
+        for z in explain_zones(df, F.expr("i div 8"), q).collect():
+            held = want[z["zone"] * 8 : z["zone"] * 8 + 8]
+            assert z["match"] == 0 or (all(held) if z["match"] == 1 else not any(held)), q
+
+
+def test_pushdown(spark, tmp_path):
+    """What the scan is told, leaf by leaf."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(0, 1, 2, True, 0.5, 0.5, "x")], StoreSchema.build([StoreColumn("i", Kind.I32), *(StoreColumn(k.name, k) for k in KINDS)]).struct()).write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def pushed(q):
+        plan = df.where(compile_predicate(q, RANDOM))._jdf.queryExecution().executedPlan().toString()
+        return plan.split("PushedFilters: [")[1].split("], ReadSchema")[0]
+
+    assert "Or(EqualTo(I32,0),IsNull(I32))" in pushed(p.i32_eq("I32", 0))
+    assert "EqualTo(I64,3)" in pushed(p.i64_eq("I64", 3))
+    assert "Or(Not(EqualTo(I32,3)),IsNull(I32))" in pushed(~p.i32_eq("I32", 3))
+    assert "StringStartsWith(STR,a)" in pushed(p.str_has("STR", "a", True, S))
+    assert "GreaterThan(DBL,5.0)" in pushed(p.dbl_gt("DBL", 5.0))
+    assert "GreaterThan(I64,5)" in pushed(p.custom("I32", Kind.I32, rows=lambda a: a, arrow=True) & p.i64_gt("I64", 5))

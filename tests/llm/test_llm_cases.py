@@ -96,12 +96,42 @@ def test_near_duplicates(odd, none):
     found = simhash.near_duplicates(odd).select("doc_id", simhash.fingerprint_hex(), "component_id")
     assert got(found) == want(op2(ODD))
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = simhash.keep_one(odd, simhash.EXACT)
     assert kept.columns == odd.columns
     assert sorted(r[0] for r in kept.collect() if r[0] is not None) == sorted({c for _, _, c in op2(ODD) if c is not None} | {20})
     assert simhash.keep_one(none).columns == none.columns
 
 
+def jaccard(a, b):
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+
+
+def test_similar_texts(spark):
+    """Of each text and its near copies (0.8 and more alike) one stays; texts less than half alike all stay; the rest may go either way."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, clean = [], []
+    for g in range(150):
+        base = [word() for _ in range(rng.choice([60, 200, 600]))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+                copy[i] = word()
+            if jaccard(rows[-1][1], " ".join(copy)) >= 0.8:
+                rows.append((len(rows), " ".join(copy)))
+        half = base[: len(base) // 3] + [word() for _ in range(len(base))]
+        clean.append(len(rows))
+        rows.append((len(rows), " ".join(half)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    groups = len(clean)
+    assert set(clean) <= kept
+    assert groups <= len(kept) - groups <= groups * 1.03
+    assert 0.12 < simhash.differing(0.8) < 0.16 and simhash.similar().radius == 44
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abAB é\t\n\x0b\x0c\r\x1c\x85\u00a0")), max_size=80))
 def test_fingerprint(text):
@@ -138,7 +168,7 @@ def grouped(n, links):
 @pytest.mark.parametrize("seed", range(6))
 def test_dense_links(seed):
     fps = family(random.Random(seed), 400, 3 if seed % 2 else 60)
-    links = simhash.dense_links(np.array(fps, np.uint64))
+    links = simhash.dense_links(np.array(fps, np.uint64)[:, None], 4)
     assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in links)
     assert grouped(len(fps), links) == classes(fps)
 
@@ -146,7 +176,7 @@ def test_dense_links(seed):
 def test_keys_lose_no_pair():
     rng = random.Random(1)
     for n in (10, 1 << 25, 1 << 33):
-        masks = simhash.keys_for(n)
+        masks = [m for (m,) in simhash.block_keys(n)]
         for _ in range(300):
             x = y = rng.getrandbits(64)
             for b in rng.sample(range(64), 4):
@@ -159,14 +189,14 @@ def test_links_over_slices(spark, size):
     """Crowded keys in slices give the same components; batches of one row do, too."""
     fps = family(random.Random(9), 600, 40)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
-    edges = simhash.links(df, len(fps), size).collect()
+    df = spark.createDataFrame([(x,) for x in signed], "f0 bigint")
+    edges = simhash.links(df, len(fps), simhash.EXACT, size).collect()
     place = {x: i for i, x in enumerate(signed)}
     assert grouped(len(fps), [(place[r["u"]], place[r["v"]]) for r in edges]) == classes(fps)
     key = np.sort(np.array([1, 1, 1, 2, 2, 3, 4, 4, 4, 4]))
     x = np.array([0, 1, 3, 8, 9, 5, 7, 1 << 40, (1 << 40) + 1, 6], np.uint64)
-    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64))], ["key", "fp"])
-    pairs = [sorted((r["u"], r["v"]) for b in simhash._find_links(iter(bs)) for r in b.to_pylist()) for bs in ([whole], [whole.slice(i, 1) for i in range(10)])]
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64))], ["key", "f0"])
+    pairs = [sorted((r["u0"], r["v0"]) for b in simhash._find_links(iter(bs), 1, 4) for r in b.to_pylist()) for bs in ([whole], [whole.slice(i, 1) for i in range(10)])]
     joined = [grouped(11, [(sorted(set(x.tolist())).index(u), sorted(set(x.tolist())).index(v)) for u, v in p]) for p in pairs]
     assert joined[0] == joined[1]
 

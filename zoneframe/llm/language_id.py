@@ -23,7 +23,7 @@ from ._common import numbered, pick, struct_udf, texts
 WIDTH, PER_LANGUAGE = 1 << 11, 600
 
 #: Documents scored below this are rejected by ``keep_known``.
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.3
 
 UNKNOWN = "und"
 

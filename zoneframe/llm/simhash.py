@@ -1,93 +1,174 @@
 """SimHash near-duplicates: fingerprints over word shingles, pivot distance tables, distributed components.
 
-Fingerprints that differ in at most ``RADIUS`` bits are linked. Two such
-fingerprints agree on enough of ``blocks`` bit blocks to share a key; within
-the fingerprints of one key, distances to fixed reference fingerprints rule
-out most pairs by their greatest coordinate difference (triangle inequality)
-and the rest are compared bit by bit. No pair of texts, and no pair within a
-dense group, is ever emitted: each batch reports a spanning forest.
+Two plans share one engine. ``EXACT`` links 64-bit fingerprints of four-word
+shingles that differ in at most 4 bits and loses no link: with six blocks of
+bits or more, two such fingerprints agree on enough blocks to share a key.
+``SIMILAR`` links texts whose five-word shingles are similar by 0.8 or more, as
+256-bit fingerprints tell: such fingerprints differ in some 39 bits, too many
+for blocks, so keys are sampled bits, in as many tables as recall asks for.
+
+Within the fingerprints of one key, distances to fixed reference fingerprints
+rule out pairs by their greatest coordinate difference (triangle inequality)
+and the rest are compared bit by bit. No pair within a dense group is ever
+emitted but those of a spanning forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import array_udf, cut, numbered, pick, texts
 
-#: Words in a shingle, differing bits of a link.
-WORDS, RADIUS = 4, 4
-
 #: Up to this many fingerprints of one key are compared offset by offset; more go through leaders.
 PAIRWISE = 128
 
 #: A key with more distinct fingerprints than this is dealt to several tasks.
 SLICE = 1 << 18
 
-#: Reference fingerprints of the pivot table.
-PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 16, dtype=np.uint64)
+#: Reference fingerprints of the pivot table, of up to four words of 64 bits.
+PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (16, 4), dtype=np.uint64)
+
+_FULL = (1 << 64) - 1
+
+
+def block_keys(n: int, radius: int = 4) -> list[list[int]]:
+    """Bit masks, of which two 64-bit fingerprints within ``radius`` agree on one at least.
+
+    With b blocks, at most ``radius`` of them differ, so the other b - radius
+    agree. More blocks make more keys, of more bits: chosen so that few
+    unrelated fingerprints share one.
+    """
+    blocks = 6 if n <= 1 << 24 else 7 if n <= 1 << 31 else 8
+    bounds = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:])]
+    return [[sum(c)] for c in combinations(bits, blocks - radius)]
+
+
+#: Share of the pairs of just the asked similarity that share a key.
+RECALL = 0.97
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of texts whose shingles have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_keys(n: int, similarity: float, words: int = 4) -> list[list[int]]:
+    """Masks of sampled bits: enough bits that few unrelated fingerprints share a key, enough masks for ``RECALL``."""
+    bits = max(16, math.ceil(math.log2(max(2, n))) - 4)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differing(similarity)) ** bits))
+    rng = np.random.default_rng(256)
+    masks = []
+    for _ in range(tables):
+        chosen = rng.choice(64 * words, bits, replace=False)
+        masks.append([sum(1 << (int(b) % 64) for b in chosen if b // 64 == w) for w in range(words)])
+    return masks
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the masks of the keys for n fingerprints."""
+
+    shingle: int
+    words: int
+    radius: int
+    keys: Callable[[int], list[list[int]]]
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint, unsigned; no words: zero; fewer words than a shingle: the whole sequence is one."""
+    def node(self, prefix: str = "f") -> Column:
+        """One number for a fingerprint: itself, or a hash of a longer one."""
+        return F.col(f"{prefix}0") if self.words == 1 else F.xxhash64(*(f"{prefix}{i}" for i in range(self.words)))
+
+
+EXACT = Plan(4, 1, 4, block_keys)
+
+
+def similar(shingle: int = 5, similarity: float = 0.8, words: int = 4) -> Plan:
+    """Links where the bits tell this similarity; one standard deviation more is let pass, so that few such pairs are missed."""
+    share = differing(similarity)
+    radius = math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    return Plan(shingle, words, radius, lambda n: sampled_keys(n, similarity, words))
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
     norm = b" ".join((text or "").encode("utf-8", "replace").lower().split())
     if not norm:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32).tolist()
     starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(norm)]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(norm[a:b], 42) for a, b in zip(starts, ends[WORDS - 1 :])] or [digest(norm, 42)]
-    return _majority(np.array(hashes, np.uint64))
+    return np.array([digest(norm[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])] or [digest(norm, 42)], np.uint64)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 15):  # bounded, however long the text
-        part = hashes[i : i + (1 << 15)].astype("<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+def _mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th further word of a shingle's hash."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(i * 0x9E3779B97F4A7C15 & _FULL)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
 
 
-def _fingerprints(batch: pa.Array) -> pa.Array:
-    found = np.fromiter((fingerprint(t) for t in texts(batch)), np.uint64, len(batch))
-    return pa.array(found.view(np.int64))
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> int:
+    """Unsigned; no words in the text: zero; fewer than a shingle: the whole sequence is one.
 
+    A bit is 1 if set in over half of the shingles' hashes, repeats included.
+    Beyond 64 bits, each hash is mixed into further ones.
+    """
+    hashes, n = _hashes(text, shingle), 64 * words
+    counts = np.zeros(n, np.int64)
+    for i in range(0, len(hashes), 1 << 14):  # bounded, however long the text
+        part = hashes[i : i + (1 << 14)]
+        wide = np.stack([part, *(_mixed(part, w) for w in range(1, words))], axis=1).astype("<u8")
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
-def keys_for(n: int, radius: int = RADIUS) -> list[int]:
-    """Bit masks, of which two fingerprints within ``radius`` agree on one at least.
 
-    With b blocks, at most ``radius`` of them differ, so the other b - radius
-    agree. More blocks make more keys, of more bits: chosen so that few
-    unrelated fingerprints share one.
-    """
-    blocks = 6 if n <= 1 << 24 else 7 if n <= 1 << 31 else 8
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:])]
-    return [sum(c) for c in combinations(bits, blocks - radius)]
+def fingerprints(plan: Plan):
+    """An Arrow UDF: text to the words of its fingerprint."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        found = np.zeros((len(batch), plan.words), "<u8")
+        for i, t in enumerate(texts(batch)):
+            found[i] = np.frombuffer(fingerprint(t, plan.shingle, plan.words).to_bytes(8 * plan.words, "little"), "<u8")
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(plan.words)], plan.columns)
+
+    return array_udf("struct<" + ",".join(f"{c}:bigint" for c in plan.columns) + ">", run)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def verified(a: np.ndarray, b: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs (left, right) are linked. ``near``: the pivot table, a row for each reference fingerprint."""
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, their words along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def verified(f: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs (left, right) of rows of f are linked. ``near``: the pivot table, a row for each reference fingerprint."""
     at = np.arange(len(left))
     for row in near:
-        at = at[np.abs(row[left[at]] - row[right[at]]) <= RADIUS]
+        at = at[np.abs(row[left[at]] - row[right[at]]) <= radius]
         if not len(at):
             return at
-    return at[np.bitwise_count(a[left[at]] ^ b[right[at]]) <= RADIUS]
+    return at[distance(f[left[at]], f[right[at]]) <= radius]
 
 
 def pivot_table(f: np.ndarray) -> np.ndarray:
-    return np.stack([np.bitwise_count(f ^ p) for p in PIVOTS]).astype(np.int8)
+    return np.stack([distance(f, p[: f.shape[1]]) for p in PIVOTS])
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -105,21 +186,20 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def dense_links(f: np.ndarray, g: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect a large group as all its links would (indices into f, or into f followed by g).
+def dense_links(both: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect a large group of fingerprints as all its links would.
 
     Leaders are picked until each member is within the radius of one. Balls
     are then joined where a member of one is linked to a member of another;
     distances to the leaders rule out most comparisons.
     """
-    both = f if g is None else np.concatenate([f, g])
     leaders: list[int] = []
     ball = np.full(len(both), -1)
     left = np.arange(len(both))
     links: list[tuple[int, int]] = []
     while len(left):
         lead = left[0]
-        close = np.bitwise_count(both[left] ^ both[lead]) <= RADIUS
+        close = distance(both[left], both[lead]) <= radius
         ball[left[close]] = len(leaders)
         links += [(int(i), int(lead)) for i in left[close][1:]]
         leaders.append(int(lead))
@@ -133,19 +213,19 @@ def dense_links(f: np.ndarray, g: np.ndarray | None = None) -> list[tuple[int, i
 
     tops = np.arange(len(leaders))
     for k, lead in enumerate(leaders):
-        reach = np.bitwise_count(both ^ both[lead])
+        reach = distance(both, both[lead])
         mine = np.flatnonzero(ball == k)
-        own = reach[mine].astype(np.int16)
+        own = reach[mine]
         while True:
-            others = np.flatnonzero((reach <= 2 * RADIUS) & (tops[ball] != tops[k]) & (ball != k))
+            others = np.flatnonzero((reach <= 2 * radius) & (tops[ball] != tops[k]) & (ball != k))
             found = None
             for i in range(0, len(others), 1 << 12):
                 part = others[i : i + (1 << 12)]
                 for j in range(0, len(mine), 1 << 9):
                     some = mine[j : j + (1 << 9)]
-                    maybe = np.abs(reach[part].astype(np.int16)[:, None] - own[None, j : j + (1 << 9)]) <= RADIUS
+                    maybe = np.abs(reach[part][:, None] - own[None, j : j + (1 << 9)]) <= radius
                     a, b = np.nonzero(maybe)
-                    hit = np.flatnonzero(np.bitwise_count(both[part[a]] ^ both[some[b]]) <= RADIUS)
+                    hit = np.flatnonzero(distance(both[part[a]], both[some[b]]) <= radius)
                     if len(hit):
                         found = part[a[hit]], some[b[hit]]
                         break
@@ -162,86 +242,87 @@ def dense_links(f: np.ndarray, g: np.ndarray | None = None) -> list[tuple[int, i
     return links
 
 
-def _edges_of(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _edges_of(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints of the same key, as (fingerprint, fingerprint of its local root)."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     lefts, rights = [], []
-    small = np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes)
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes))
     if len(at):
         k, x = key[at], f[at]
         near = pivot_table(x)
         i, off = np.arange(len(k)), 1
         while len(i := i[i + off < len(k)]) and len(i := i[k[i] == k[i + off]]):
-            hit = verified(x, x, near, i, i + off)
+            hit = verified(x, near, i, i + off, radius)
             lefts.append(at[i[hit]])
             rights.append(at[i[hit] + off])
             off += 1
     for s, n in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE]):
-        if links := dense_links(f[s : s + n]):
+        if links := dense_links(f[s : s + n], radius):
             pairs = np.array(links) + s
             lefts.append(pairs[:, 0])
             rights.append(pairs[:, 1])
-    if not lefts:
+    if not sum(map(len, lefts)):
         return f[:0], f[:0]
-    nodes, code = np.unique(np.concatenate([f[np.concatenate(lefts)], f[np.concatenate(rights)]]), return_inverse=True)
+    nodes, code = np.unique(np.concatenate([f[np.concatenate(lefts)], f[np.concatenate(rights)]]), axis=0, return_inverse=True)
+    code = code.ravel()
     half = len(code) // 2
     root = forest(len(nodes), code[:half], code[half:])
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
 
 
-def _find_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a batch waits for the next one."""
-    key, f = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _find_links(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, f0, ...) come sorted by key; the last key of a batch waits for the next one."""
 
-    def out(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        u, v = _edges_of(k, x) if len(k) else (x, x)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = _edges_of(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]), radius)
+        columns = [pa.array(np.ascontiguousarray(e[:, w]).view(np.int64)) for e in (u, v) for w in range(words)]
+        return pa.RecordBatch.from_arrays(columns, [f"{c}{w}" for c in "uv" for w in range(words)])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
-        k = b.column(0).to_numpy(zero_copy_only=False)
-        x = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        k, *parts = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        x = np.stack(parts, axis=1).view(np.uint64)
         if not len(k):
             continue
-        if held and held[-1][0][0] == k[-1]:
-            held.append((k, x))  # one key over several batches
-            continue
         last = int(np.searchsorted(k, k[-1]))
-        held.append((k[:last], x[:last]))
-        key, f = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        held = [(k[last:], x[last:])]
-        yield out(key, f)
+        if last or not held or held[-1][0][0] != k[-1]:
+            done = [*held, (k[:last], x[:last])]
+            held = []
+            if sum(len(p[0]) for p in done):
+                yield out(done)
+        held.append((k[last:], x[last:]))
     if held:
-        yield out(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        yield out(held)
 
 
-def links(distinct: DataFrame, n: int, slice_size: int = SLICE) -> DataFrame:
-    """(u, v): links over distinct fingerprints in column ``fp`` with the components of all links.
+def links(distinct: DataFrame, n: int, plan: Plan = EXACT, slice_size: int = SLICE) -> DataFrame:
+    """(u, v): links, by node, over n distinct fingerprints in columns f0, ..., with the components of all links that share a key.
 
     A key that more than ``slice_size`` fingerprints share is cut into slices by
     hash, and each pair of slices becomes a key of its own, so no task holds
     more than two slices and no link is lost.
     """
-    masks = keys_for(n)
-    key = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks))))
-    keyed = distinct.select(key.alias("key"), "fp")
+    keys = [F.xxhash64(F.lit(i), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(plan.columns, masks))) for i, masks in enumerate(plan.keys(n))]
+    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), *plan.columns)
     if n > slice_size:
-        keyed = _sliced(keyed, slice_size)
+        keyed = _sliced(keyed, slice_size, plan)
     parts = keyed.repartition("key").sortWithinPartitions("key")
-    return parts.mapInArrow(_find_links, "u bigint, v bigint")
+    words, radius = plan.words, plan.radius
+    names = [f"{c}{w}" for c in "uv" for w in range(words)]
+    found = parts.mapInArrow(lambda batches: _find_links(batches, words, radius), ", ".join(f"{c} bigint" for c in names))
+    return found.select(plan.node("u").alias("u"), plan.node("v").alias("v"))
 
 
-def _sliced(keyed: DataFrame, size: int) -> DataFrame:
+def _sliced(keyed: DataFrame, size: int, plan: Plan) -> DataFrame:
     crowded = keyed.groupBy("key").count().where(F.col("count") > size).select("key", F.ceil(F.col("count") / size).cast("int").alias("s"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s")).cast("int")
+    own = F.pmod(F.xxhash64(*plan.columns, F.lit(7)), F.col("s")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
     joined = keyed.join(crowded, "key", "left")
-    whole = joined.where(F.col("s").isNull()).select("key", "fp")
-    cells = joined.where(F.col("s").isNotNull()).select("key", "fp", F.explode(pairs).alias("p"))
-    return whole.unionByName(cells.select(F.xxhash64("key", "p.a", "p.b").alias("key"), "fp"))
+    whole = joined.where(F.col("s").isNull()).select("key", *plan.columns)
+    cells = joined.where(F.col("s").isNotNull()).select("key", *plan.columns, F.explode(pairs).alias("p"))
+    return whole.unionByName(cells.select(F.xxhash64("key", "p.a", "p.b").alias("key"), *plan.columns))
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -268,8 +349,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
-    """(doc_id, fp bigint, text_key bigint, component_id) for each row: the smallest doc_id that links lead to.
+def near_duplicates(docs: DataFrame, plan: Plan = EXACT, slice_size: int = SLICE) -> DataFrame:
+    """(doc_id, f0, ..., node, text_key, component_id) for each row: the smallest doc_id that links lead to.
 
     A null text has no words, so its fingerprint is zero and it is linked to
     every text without words. Repeated rows each give a row. Null ids belong to
@@ -277,30 +358,32 @@ def near_duplicates(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
     empty table gives no rows; other columns are ignored. ``text_key`` is a hash
     of the text, to find the row again.
     """
-    fp = array_udf("bigint", _fingerprints)("text")
-    narrow = cut(pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), fp.alias("fp")))
-    distinct = cut(narrow.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    stars = components(links(distinct, distinct.count(), slice_size))
-    linked = cut(stars.join(distinct, stars["node"] == distinct["fp"]).select("fp", "root", "rep"))
+    found = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), fingerprints(plan)("text").alias("f"))
+    narrow = cut(found.select("doc_id", "text_key", "f.*").withColumn("node", plan.node()))
+    distinct = cut(narrow.groupBy("node", *plan.columns).agg(F.min("doc_id").alias("rep")))
+    stars = components(links(distinct, distinct.count(), plan, slice_size))
+    least = distinct.select(F.col("node").alias("n"), "rep")
+    linked = cut(stars.join(least, stars["node"] == least["n"]).select("node", "root", "rep"))
     named = linked.groupBy("root").agg(F.min("rep").alias("component_id")).hint("rebalance")
-    moved = linked.join(named, "root").select("fp", "component_id")
-    alone = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return narrow.join(alone.hint("rebalance"), "fp").select("doc_id", "fp", "text_key", "component_id")
+    moved = linked.join(named, "root").select("node", "component_id")
+    alone = distinct.join(moved, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    return narrow.join(alone.hint("rebalance"), "node")
 
 
-def fingerprint_hex(fp: str = "fp"):
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def fingerprint_hex(column: str = "f0") -> Column:
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The documents, one of each component: the row of its smallest doc_id (a null id only where there is no other).
 
-    Of rows that repeat that id and text, one stays. Columns are kept as they are.
+    Unless told otherwise, five-word shingles and a similarity of 0.8. Of rows
+    that repeat the id and text that stay, one stays. Columns are kept as they are.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, plan or similar())
     no_id = F.col("doc_id").isNull()
     first = F.min(F.struct(no_id.alias("no_id"), "doc_id", "text_key")).alias("first")
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
+    group = F.coalesce(F.col("component_id"), F.col("node"))
     keep = found.groupBy(F.col("component_id").isNull().alias("unnamed"), group.alias("g")).agg(first).select("first.doc_id", "first.text_key").hint("rebalance")
     frame, col, back = numbered(docs)
     keyed = frame.withColumns({"k_id": col("doc_id"), "k_text": F.xxhash64(col("text"))})

@@ -146,27 +146,26 @@ def expand(packed: bytes) -> np.ndarray:
 def offsets(light: DataFrame) -> DataFrame:
     """(uid, at): each document's first place in the stream, by (hkey, hash of uid).
 
-    The rows are range-sorted into partitions; sums within each, plus the total
-    of the partitions before it, give the places. Rows with one key (copies)
-    are spread over partitions by the hash. Only one total for each partition
-    meets in one task.
+    The rows are range-sorted into partitions; running sums within each, plus
+    the total of the partitions before it, give the places. Rows with one key
+    (copies) are spread over partitions by the hash. Only one total for each
+    partition meets in one task and on the driver.
     """
-    spread = F.xxhash64("uid")
-    dealt = cut(light.select("uid", "hkey", "n", spread.alias("h")).repartitionByRange("hkey", "h", "uid").withColumn("part", F.spark_partition_id()))
+    ranged = light.select("uid", "hkey", "n", F.xxhash64("uid").alias("h")).repartitionByRange("hkey", "h", "uid")
+    dealt = cut(ranged.sortWithinPartitions("hkey", "h", "uid").select("uid", "n", F.spark_partition_id().alias("part")))
     slices = dealt.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = slices.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     bases = {r["part"]: r["base"] for r in base.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        uid, hkey, n, h = (t.column(c).to_numpy() for c in ("uid", "hkey", "n", "h"))
-        order = np.lexsort((uid, h, hkey))
-        at = np.cumsum(n[order]) - n[order] + bases[t.column("part")[0].as_py()]
-        yield pa.RecordBatch.from_arrays([pa.array(uid[order]), pa.array(at)], ["uid", "at"])
+        done = None
+        for b in batches:
+            if b.num_rows:
+                n = b.column("n").to_numpy()
+                ends = np.cumsum(n) + (bases[b.column("part")[0].as_py()] if done is None else done)
+                done = ends[-1]
+                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(ends - n)], ["uid", "at"])
 
     return dealt.mapInArrow(run, "uid bigint, at bigint")
 

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ._common import pick
 
-#: Results of a query; rows and queries of a block.
-K, ROWS, QUERIES = 20, 4096, 1024
+#: Results of a query; rows and queries that meet in one task at most; rows of an index and queries of a step.
+K, ROWS, QUERIES, TILE, STEP = 20, 1 << 15, 1 << 13, 4096, 512
+
+#: Blocks of rows that a small table is still cut into, of ``FEWEST`` rows at least.
+SPREAD, FEWEST = 12, 1024
 
 #: Least magnitudes of the segments, from the greatest impact down.
 IMPACTS = (16, 12, 8, 5, 3, 2, 1)
@@ -114,46 +117,50 @@ def _wide(a: np.ndarray, width: int) -> np.ndarray:
     return np.pad(a, ((0, 0), (0, width - a.shape[1]))) if a.shape[1] < width else a
 
 
-def search(vectors: DataFrame, is_query, k: int = K, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, rows: int | None = None, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of (vec_id, v array<bigint>) that ``is_query`` holds for, its k best others.
 
-    Rows and queries are dealt to blocks by hash. Each pair of a block of queries
-    and a block of rows is one task's work, and keeps k rows of each query at
-    most; those are merged by query. Rows with the query's own id are left out,
-    so repeated rows of another id count one by one, and repeated queries once.
-    Vectors of unlike length are compared as if filled up with zeros.
+    Rows and queries are dealt to blocks. Each pair of a block of queries and a
+    block of rows is one task's work, done tile by tile, and keeps k rows of
+    each query at most; those are merged by query. A row travels once for each
+    block of queries, a query once for each block of rows. Rows with the
+    query's own id are left out, so repeated rows of another id count one by
+    one, and repeated queries once. Vectors of unlike length are compared as if
+    filled up with zeros.
     """
-    held = vectors
-    n = held.count()
-    asked = held.where(is_query).dropDuplicates(["vec_id"])
+    n = vectors.count()
+    rows = rows or min(ROWS, max(FEWEST, -(-n // SPREAD)))
+    asked = vectors.where(is_query).dropDuplicates(["vec_id"])
     row_blocks, query_blocks = max(1, -(-n // rows)), max(1, -(-asked.count() // queries))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    block = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(m)).cast("int")
-    left = asked.select(every(row_blocks).alias("r"), block(query_blocks).alias("q"), "vec_id", "v")
-    right = held.select(block(row_blocks).alias("r"), every(query_blocks).alias("q"), "vec_id", "v")
+    own = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int")  # one id's rows may be many
+    left = asked.select(every(row_blocks).alias("r"), F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(query_blocks)).cast("int").alias("q"), "vec_id", "v")
+    right = vectors.select(own.alias("r"), "vec_id", "v").select("r", every(query_blocks).alias("q"), "vec_id", "v")
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         qi, ri = asked.column("vec_id").to_numpy(), held.column("vec_id").to_numpy()
         qv, rv = _matrix(asked.column("v")), _matrix(held.column("v"))
         width = max(qv.shape[1], rv.shape[1])
         qv, rv = _wide(qv, width), _wide(rv, width)
+        found = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))] * -(-len(qi) // STEP)
         least = np.full(len(qi), -np.inf)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(0, len(ri), rows):  # more than once only where one id repeats very often
-            index = Index(ri[i : i + rows], rv[i : i + rows])
-            for a, b, s in index.search(qi, qv, k, least):
-                q, v, s = (np.concatenate(x) for x in zip(out[0], (a, index.ids[b], np.rint(s).astype(np.int64) if s.dtype.kind == "f" else s)))
-                top = best(q, v, s, k)
-                out = [(q[top], v[top], s[top])]
-                full = np.bincount(out[0][0], minlength=len(qi)) >= k
-                low = np.full(len(qi), np.iinfo(np.int64).max)
-                np.minimum.at(low, out[0][0], out[0][2])
-                least = np.where(full, low, -np.inf)
-        q, v, s = out[0]
-        return pa.table({"query_id": qi[q], "vec_id": v, "score": s})
+        for i in range(0, len(ri), TILE):
+            index = Index(ri[i : i + TILE], rv[i : i + TILE])
+            for step, j in enumerate(range(0, len(qi), STEP)):
+                ids = qi[j : j + STEP]
+                for a, b, s in index.search(ids, qv[j : j + STEP], k, least[j : j + STEP]):
+                    exact = np.rint(s).astype(np.int64) if s.dtype.kind == "f" else s
+                    q, v, s = (np.concatenate(x) for x in zip(found[step], (a, index.ids[b], exact)))
+                    top = best(q, v, s, k)
+                    q, v, s = found[step] = q[top], v[top], s[top]
+                    low = np.full(len(ids), np.iinfo(np.int64).max)
+                    np.minimum.at(low, q, s)
+                    least[j : j + STEP] = np.where(np.bincount(q, minlength=len(ids)) >= k, low, -np.inf)
+        parts = [(qi[q + step * STEP], v, s) for step, (q, v, s) in enumerate(found)]
+        q, v, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query_id": q, "vec_id": v, "score": s})
 
     found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

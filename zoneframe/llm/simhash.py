@@ -4,7 +4,7 @@ Two plans share one engine. ``EXACT`` links 64-bit fingerprints of four-word
 shingles that differ in at most 4 bits and loses no link: with six blocks of
 bits or more, two such fingerprints agree on enough blocks to share a key.
 ``SIMILAR`` links texts whose five-word shingles are similar by 0.8 or more, as
-256-bit fingerprints tell: such fingerprints differ in some 39 bits, too many
+512-bit fingerprints tell: such fingerprints differ in some 75 bits, too many
 for blocks, so keys are sampled bits, in as many tables as recall asks for.
 
 Within the fingerprints of one key, distances to fixed reference fingerprints
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from ._common import array_udf, cut, numbered, pick, texts
 
 #: Up to this many fingerprints of one key are compared offset by offset; more go through leaders.
-PAIRWISE = 128
+PAIRWISE = 512
 
 #: A key with more distinct fingerprints than this is dealt to several tasks.
 SLICE = 1 << 18
 
-#: Reference fingerprints of the pivot table, of up to four words of 64 bits.
-PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (16, 4), dtype=np.uint64)
+#: Reference fingerprints of the pivot table, of up to eight words of 64 bits.
+PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (16, 8), dtype=np.uint64)
 
 _FULL = (1 << 64) - 1
 
@@ -53,7 +53,7 @@ def block_keys(n: int, radius: int = 4) -> list[list[int]]:
     return [[sum(c)] for c in combinations(bits, blocks - radius)]
 
 
-#: Share of the pairs of just the asked similarity that share a key.
+#: Share of the pairs at the very radius of a link that share a key, if their bits are independent; nearer pairs do more often.
 RECALL = 0.97
 
 
@@ -62,10 +62,10 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_keys(n: int, similarity: float, words: int = 4) -> list[list[int]]:
+def sampled_keys(n: int, radius: int, words: int) -> list[list[int]]:
     """Masks of sampled bits: enough bits that few unrelated fingerprints share a key, enough masks for ``RECALL``."""
-    bits = max(16, math.ceil(math.log2(max(2, n))) - 4)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differing(similarity)) ** bits))
+    bits = max(12, math.ceil(math.log2(max(2, n))) - 8)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - radius / (64 * words)) ** bits))
     rng = np.random.default_rng(256)
     masks = []
     for _ in range(tables):
@@ -95,11 +95,11 @@ class Plan:
 EXACT = Plan(4, 1, 4, block_keys)
 
 
-def similar(shingle: int = 5, similarity: float = 0.8, words: int = 4) -> Plan:
-    """Links where the bits tell this similarity; one standard deviation more is let pass, so that few such pairs are missed."""
+def similar(shingle: int = 5, similarity: float = 0.8, words: int = 8) -> Plan:
+    """Links where the bits tell this similarity; 1.5 standard deviations more are let pass, so that few such pairs are missed."""
     share = differing(similarity)
-    radius = math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
-    return Plan(shingle, words, radius, lambda n: sampled_keys(n, similarity, words))
+    radius = math.floor(64 * words * share + 1.5 * math.sqrt(64 * words * share * (1 - share)))
+    return Plan(shingle, words, radius, lambda n: sampled_keys(n, radius, words))
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -164,11 +164,15 @@ def verified(f: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarra
         at = at[np.abs(row[left[at]] - row[right[at]]) <= radius]
         if not len(at):
             return at
+    if f.shape[1] > 1:  # half of the words is a lower bound
+        half = f[:, : f.shape[1] // 2]
+        at = at[distance(half[left[at]], half[right[at]]) <= radius]
     return at[distance(f[left[at]], f[right[at]]) <= radius]
 
 
 def pivot_table(f: np.ndarray) -> np.ndarray:
-    return np.stack([distance(f, p[: f.shape[1]]) for p in PIVOTS])
+    """Fewer reference fingerprints for longer ones, whose radius is wide: they rule out little there."""
+    return np.stack([distance(f, p[: f.shape[1]]) for p in PIVOTS[: len(PIVOTS) // f.shape[1]]])
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -7,8 +7,8 @@ other pre-tokens, each distinct one once per batch, go through the merges.
 
 from __future__ import annotations
 
+import os
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,8 +22,10 @@ from ._common import pick, struct_udf
 #: Token counts over this set ``over_limit``.
 LIMIT = 2048
 
-#: Counts of merged pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Counts of merged pre-tokens that a worker remembers before it starts anew; texts whose pre-tokens are looked up together.
+REMEMBERED, TOGETHER = 1 << 20, 64
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 # As the vocabulary file splits: contractions, runs of letters, single digits, runs of the rest.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", regex.V1)
@@ -82,24 +84,30 @@ class Counting:
         self.library = tokenizer(path)
         self.whole = whole_tokens(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.merged: dict[str, int] = {}
+        self.known = dict.fromkeys(self.whole, 1)
 
     def counts(self, batch: Iterable[str | None]) -> Iterator[int]:
+        held: list[str] = []
         for text in batch:
-            yield self.count(text or "")
+            held.append(text or "")
+            if len(held) == TOGETHER:
+                yield from self._together(held)
+                held = []
+        yield from self._together(held)
 
     def count(self, text: str) -> int:
-        if any(s in text for s in self.special) or not _plain(text):
-            return len(self.library.encode(text, add_special_tokens=False))
-        words = _SPLIT.findall(lowered(text))
-        n, whole, merged = len(words), self.whole, self.merged
-        rest = Counter([w for w in words if w not in whole])
-        if len(merged) > REMEMBERED:
-            merged.clear()
-        if new := [w for w in rest if w not in merged]:
+        return next(self._together([text]))
+
+    def _together(self, batch: list[str]) -> Iterator[int]:
+        by_library = [any(s in t for s in self.special) or not _plain(t) for t in batch]
+        words = [[] if odd else _SPLIT.findall(lowered(t)) for t, odd in zip(batch, by_library)]
+        if len(self.known) > REMEMBERED:
+            self.known = dict.fromkeys(self.whole, 1)
+        if new := list(set().union(*words).difference(self.known)):
             encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-            merged.update((w, len(e)) for w, e in zip(new, encoded, strict=True))
-        return n + sum((merged[w] - 1) * k for w, k in rest.items())
+            self.known.update((w, len(e)) for w, e in zip(new, encoded, strict=True))
+        for text, own, odd in zip(batch, words, by_library):
+            yield len(self.library.encode(text, add_special_tokens=False)) if odd else sum(map(self.known.__getitem__, own))
 
 
 @lru_cache(maxsize=2)

@@ -87,6 +87,42 @@ def test_wrong_use(spark, tmp_path):
         write_frame(spark.range(3), str(tmp_path / "w"), StoreSchema.build([StoreColumn("id", Kind.I32)]))
 
 
+def test_single_values(spark, tmp_path):
+    path = str(tmp_path / "t")
+    kinds = [Kind.BIT, Kind.I32, Kind.I64, Kind.FLT, Kind.DBL, Kind.STR]
+    with Writer(spark, path, [StoreColumn(k.name, k) for k in kinds], 2) as w:
+        for i in range(5):
+            w.put_i32("I32", i)
+            w.put_bit(0, i > 2)
+            w.put_i64(2, -i)
+            w.put_flt(3, i / 2)
+            w.put_null(4) if i % 2 else w.put_dbl(4, i / 4)
+            w.put_str(5, str(i))
+    reader = open_table(spark, path, 2)
+    assert [tuple(r) for r in reader.rewind()] == [(i > 2, i, -i, i / 2, None if i % 2 else i / 4, str(i)) for i in range(5)]
+    assert sorted(r["n"] for r in reader.row_group_counts().collect()) == [1, 2, 2]
+    w = Writer(spark, str(tmp_path / "u"), [StoreColumn("a", Kind.I32), StoreColumn("b", Kind.I32)])
+    w.put_i32(0, 1)
+    with pytest.raises(ValueError):
+        w.finish()
+    with pytest.raises(TypeError):
+        w.put_str(0, "x")
+    with pytest.raises(IndexError):
+        w.put_i32(2, 1)
+
+
+def test_zone_filtered(spark):
+    from zoneframe.operators.zones import zone_filtered
+    from zoneframe.plans.compile import matching
+
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("m"))
+    zone = F.expr("id div 10")
+    for q in (p.i64_lt("id", 35) & ~p.i64_eq("m", 3), ~p.i64_gt("id", 90), p.true(), ~p.true()):
+        assert sorted(r["id"] for r in zone_filtered(df, zone, q).collect()) == sorted(r["id"] for r in matching(df, q).collect())
+    whole = p.custom("id", Kind.I64, zone=lambda a, b: F.when(a >= 70, 1).otherwise(-1))  # no row test: whole zones or nothing
+    assert sorted(r["id"] for r in zone_filtered(df, zone, whole).collect()) == list(range(70, 100))
+
+
 def test_failed_block_writes_nothing(spark, tmp_path):
     with pytest.raises(KeyError), Writer(spark, str(tmp_path / "t"), [StoreColumn("a", Kind.I32)]) as w:
         w.put((1,))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import unit_view
+from ..plans.compile import compile_predicate
 from ..plans.predicate import Always, Compare, Custom, Group, IsNull, Predicate, validate
 from ..types import Kind, StoreSchema
 
@@ -93,6 +94,20 @@ def explain_zones(df: DataFrame, group: Column, p: Predicate, name: str = "zone"
     return zones.select(name, "n", zone_match(p, schema).alias("match"))
 
 
+def zone_filtered(df: DataFrame, group: Column, p: Predicate) -> DataFrame:
+    """The matching rows, by zone: those of zones told to match nothing are skipped, those of zones told to match wholly pass untested.
+
+    For custom zone tests, which a file's own statistics cannot serve; plain
+    predicates over Parquet are pruned by the scan itself. The zone map is one
+    row for each zone, and Spark broadcasts it only where it measures it small.
+    """
+    schema, zone, match = StoreSchema.of(df.schema), "zf_zone", "zf_match"
+    zones = explain_zones(df, group, p, zone).select(zone, F.col("match").alias(match)).where(F.col(match) != NONE)
+    joined = df.withColumn(zone, group).join(zones, zone)
+    test = compile_predicate(p, schema, lambda n: F.col(f"`{n}`"))
+    return joined.where((F.col(match) == ALL) | F.coalesce(test, F.lit(False))).drop(zone, match)
+
+
 def _columns(p: Predicate) -> set[int | str]:
     if isinstance(p, Group):
         return set().union(*map(_columns, p.operands))

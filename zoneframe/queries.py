@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import string_bytes, unit_view
 from .operators.counts import parallel_count, row_count
-from .operators.zones import explain_zones, zone_map
+from .operators.zones import explain_zones, zone_filtered, zone_map
 from .plans import predicate as p
 from .plans.compile import matching, projected
 from .sources import tools
@@ -294,6 +294,18 @@ ZONE_MATCHES: dict[str, tuple[p.Predicate, str]] = {
 }
 
 
+def zone_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom test with a zone test of its own: whole zones are skipped or passed."""
+    df, zone = _order_zones(spark, sf_dir)
+    inside = p.custom(
+        "o_orderkey",
+        Kind.I64,
+        rows=lambda c: (c >= 1500) & (c < 4200),
+        zone=lambda low, high: F.when((high < 1500) | (low >= 4200), -1).when((low >= 1500) & (high < 4200), 1).otherwise(0),
+    )
+    return zone_filtered(df, zone, inside & p.dbl_gt("o_totalprice", 100000.0)).select("o_orderkey", "o_totalprice")
+
+
 # Tools.
 
 
@@ -382,6 +394,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "row_count_matching": (row_count_matching, "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'A'"),
     "parallel_count": (parallel_counted, "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30"),
     "row_groups": (row_groups, "SELECT g AS zf_group, count(*) AS n FROM (SELECT (row_number() OVER () - 1) // 300 AS g FROM part) AS t GROUP BY g"),
+    "zone_pruned_scan": (zone_pruned_scan, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 1500 AND o_orderkey < 4200 AND o_totalprice > 100000"),
     "cat_union_all": (cat_union_all, "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
     "head_20": (
         head_20,

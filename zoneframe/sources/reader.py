@@ -66,6 +66,10 @@ class Reader:
 
     __iter__ = rows
 
+    def rewind(self) -> Reader:
+        """For callers that expect one: a reader keeps no position, each iteration starts at the first row."""
+        return self
+
     def row_count(self) -> int:
         """Unfiltered: from the files' footers, no column is read."""
         return self.frame.count()

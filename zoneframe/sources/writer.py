@@ -87,10 +87,49 @@ class Writer:
         for held, v in zip(self._held, values):
             held.append(v)
         self._rows += 1
-        if self._rows % self.row_group_size == 0:
+        self._flush_full()
+
+    def _put(self, column: int | str, kind: Kind | None, value) -> None:
+        """One value of one column; a row is complete once each of its columns has one."""
+        if self._done:
+            raise RuntimeError("the table is finished")
+        i = StoreSchema.build(self.columns).place(column)
+        held = self.columns[i]
+        if kind is not None and held.kind is not kind:
+            raise TypeError(f"column {column!r} is {held.kind.name}, not {kind.name}")
+        self._held[i].append(None if kind is None else checked(kind, value))
+        self._rows += i == 0
+        self._flush_full()
+
+    def put_null(self, column: int | str) -> None:
+        self._put(column, None, None)
+
+    def put_bit(self, column: int | str, value: bool) -> None:
+        self._put(column, Kind.BIT, value)
+
+    def put_i32(self, column: int | str, value: int) -> None:
+        self._put(column, Kind.I32, value)
+
+    def put_i64(self, column: int | str, value: int) -> None:
+        self._put(column, Kind.I64, value)
+
+    def put_flt(self, column: int | str, value: float) -> None:
+        self._put(column, Kind.FLT, value)
+
+    def put_dbl(self, column: int | str, value: float) -> None:
+        self._put(column, Kind.DBL, value)
+
+    def put_str(self, column: int | str, value: str) -> None:
+        self._put(column, Kind.STR, value)
+
+    def _flush_full(self) -> None:
+        if len(self._held[0]) >= self.row_group_size and len({len(h) for h in self._held}) == 1:
             self._flush()
 
     def _flush(self) -> None:
+        sizes = [len(h) for h in self._held]
+        if len(set(sizes)) > 1:
+            raise ValueError(f"columns of unlike length: {sizes}")
         if self._held and self._held[0]:
             arrays = [pa.array(h, _ARROW[c.kind]) for h, c in zip(self._held, self.columns)]
             self._batches.append(pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))]))

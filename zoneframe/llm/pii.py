@@ -167,12 +167,11 @@ def shown(spans: Iterable[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked) of each row's whole text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row's whole text.
 
-    The counts and the digest are of the base kinds, ``spans`` of all kinds,
-    ``masked`` is the text with the spans replaced (null for a null text, which
-    has no spans). Repeated rows each give a row; an empty table gives none;
-    other columns are ignored.
+    The counts and the digest are of the base kinds, ``spans`` of all kinds. A
+    null text has no spans. Repeated rows each give a row; an empty table gives
+    none; other columns are ignored. ``mask_documents`` replaces the spans.
     """
 
     def rows(batch: Iterable[str | None]) -> Iterator[tuple]:
@@ -180,9 +179,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             spans = find(text or "")
             base = [s for s in spans if s.kind in BASE]
             counts = [sum(s.kind == k for s in base) for k in BASE]
-            yield *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), text and (mask(text, spans) if spans else text)
+            yield *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)
 
-    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string", "masked": "string"}
+    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string"}
     found = struct_udf(fields, rows)("text").alias("d")
     return pick(docs, "doc_id", "text").select("doc_id", found).select("doc_id", F.col("d.*"))
 

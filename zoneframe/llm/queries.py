@@ -41,7 +41,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("masked")
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

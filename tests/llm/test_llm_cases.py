@@ -71,6 +71,25 @@ def test_safe_pieces(text, size):
     assert [i for x in parts for i in encode(x)] == encode(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \n\t'sa1!\x85\x1c\u00a0\u3000")), max_size=120), st.sampled_from(["", " ", "\n", " \u2003"]), st.integers(1, 8))
+def test_runs_of_white_space(text, fill, size):
+    """Runs that skip the pattern, wherever they stand, give the ids of the whole text."""
+    text = text + fill * 12 + text
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe_codec, "SPACE_RUN", size)
+        m.setattr(bpe_codec, "PIECE_CHARS", 16)
+        assert bpe_codec.encode(text, tiktoken_encoding()) == tiktoken_encoding().encode_ordinary(text)
+
+
+def test_endless_white_space():
+    """The library itself fails on these; the ids must still stand for the text."""
+    for text in (" " * 1_500_000 + "x", "a" + "\n" * 1_500_000, "a " + " \t" * 700_000 + "\u3000b"):
+        ids = bpe_codec.encode(text, tiktoken_encoding())
+        assert tiktoken_encoding().decode_bytes(ids) == text.encode()
+    assert bpe_codec.encode(" " * 100_000 + "x", tiktoken_encoding()) == tiktoken_encoding().encode_ordinary(" " * 100_000 + "x")
+
+
 def test_token_counts(odd, none):
     path = P.path("word_bpe_49k.json")
     assert got(token_count.count_tokens(odd, path)) == want((i, *op9(t)) for i, t in ODD)

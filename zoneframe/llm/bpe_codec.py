@@ -2,7 +2,9 @@
 
 Long texts are cut before encoding, at places where a match of the splitting
 pattern ends whatever stands around them, so the ids are those of the whole
-text while one call into the library stays small.
+text while one call into the library stays small. A very long run of white
+space, on which the library's pattern engine would fail, is one match less its
+last character, and goes to the merges alone.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ PIECE_CHARS = 1 << 16
 # alone: before white space that follows another character, a match always ends.
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
 
+#: White space in a run that goes to the merges without the pattern.
+SPACE_RUN = 1 << 14
+
+# White space as the pattern engine has it.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 @lru_cache(maxsize=4)
 def codec(rank_file: str, pattern: str) -> tiktoken.Encoding:
@@ -55,7 +63,15 @@ def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
     if len(text) <= PIECE_CHARS:
         return encoding.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text):
+    done = 0
+    for run in re.finditer(f"{_SPACE}{{{SPACE_RUN},}}", text):
+        # Before other text, its last character is not part of the match.
+        end = run.end() - (run.end() < len(text))
+        for piece in pieces(text[done : run.start()]):
+            ids += encoding.encode_ordinary(piece)
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        done = end
+    for piece in pieces(text[done:]):
         ids += encoding.encode_ordinary(piece)
     return ids
 

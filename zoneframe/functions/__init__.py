@@ -21,9 +21,14 @@ def folded(text: str) -> str:
     return text.translate(_FOLD)
 
 
+def literal(value, kind: Kind) -> Column:
+    """A value as a column of exactly its type; only these two need a cast, and each call into the JVM takes time."""
+    return F.lit(value).cast(kind.spark.simpleString()) if kind in (Kind.I64, Kind.FLT) else F.lit(value)
+
+
 def unit_view(column: Column, kind: Kind) -> Column:
     """The column with NULL shown as its type's unit value."""
-    return F.coalesce(column, F.lit(kind.unit).cast(kind.spark))
+    return F.coalesce(column, literal(kind.unit, kind))
 
 
 def string_bytes(column: Column) -> Column:

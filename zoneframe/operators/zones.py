@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import unit_view
+from ..functions import literal, unit_view
 from ..plans.compile import compile_predicate
 from ..plans.predicate import Always, Compare, Custom, Group, IsNull, Predicate, validate
 from ..types import Kind, StoreSchema
@@ -79,7 +79,7 @@ def _leaf(p: Predicate, schema: StoreSchema) -> Column:
         if p.op == "eq":
             return _state((low > size) | (high < size), no)
         return _state(high < size, no) if p.op == "has" else F.lit(UNKNOWN)
-    v, clean = F.lit(p.value).cast(p.kind.spark), ~F.col(f"`{i}_nan`")
+    v, clean = literal(p.value, p.kind), ~F.col(f"`{i}_nan`")
     if p.op == "eq":
         return _state((low > v) | (high < v), (low == v) & (high == v) & clean)
     if p.op == "lt":

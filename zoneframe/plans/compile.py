@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fold, folded, unit_view
+from ..functions import fold, folded, literal, unit_view
 from ..types import Kind, StoreSchema
 from .predicate import Always, At, Compare, Custom, Group, IsNull, Predicate, cheapest_first, validate
 
@@ -37,7 +37,7 @@ def projected(p: Predicate, schema: StoreSchema, col: Callable[[str], Column] =
 
 
 def matching(df: DataFrame, p: Predicate, nulls: str = "unit") -> DataFrame:
-    return df.where(compile_predicate(p, StoreSchema.of(df.schema), lambda n: df[f"`{n}`"], nulls))
+    return df.where(compile_predicate(p, StoreSchema.of(df.schema), lambda n: F.col(f"`{n}`"), nulls))
 
 
 def _node(p: Predicate, flip: bool, schema: StoreSchema, col: Callable[[str], Column], nulls: str) -> Column:
@@ -69,14 +69,12 @@ def _test(p: Compare, c: Column) -> Column:
     value = p.value
     if p.kind is Kind.STR and not p.case_sensitive:
         c, value = fold(c), folded(value)
-    v = F.lit(value).cast(p.kind.spark)
+    if p.op == "has":
+        return {At.START: c.startswith, At.END: c.endswith, At.ANY: c.contains}[p.at](value)
+    v = literal(value, p.kind)
     if p.op == "eq":
         return c == v
-    if p.op == "lt":
-        return c < v
-    if p.op == "gt":
-        return c > v
-    return {At.START: c.startswith, At.END: c.endswith, At.ANY: c.contains}[p.at](value)
+    return c < v if p.op == "lt" else c > v
 
 
 def _custom(p: Custom, c: Column, no: bool, nulls: str) -> Column:

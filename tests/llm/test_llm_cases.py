@@ -385,6 +385,10 @@ def test_further_spans():
     assert kinds("his SSN is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     assert kinds("card 378282246310005") == ["pan"] and kinds("number 378282246310005") == []
     assert kinds("call 555-010-9999 now") == ["tel"] and kinds("password=abcdef123 x") == ["secret"]
+    assert kinds("x +1 (269) 555-3296 4539148803436467 y") == ["pan", "tel"] and kinds("x +1 (269) 555-3296 10.0.0.17 y") == ["ip", "tel"]
+    assert kinds("1234 4539 1488 0343 6468 5") == kinds("+1 2 3") == []
+    assert kinds('token = "44e15e09fd311c3cf3163b66" x') == ["secret"] and kinds("Token: 'ab'; secret = x") == []
+    assert pii.mask('a token = "44e15e09fd311c3cf3163b66", b', pii.find('a token = "44e15e09fd311c3cf3163b66", b')) == "a [SECRET], b"
     assert pii.mask("a x@y.zz b", pii.find("a x@y.zz b")) == "a [EMAIL] b"
 
 

@@ -34,8 +34,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
+# Numbers of these shapes are found again where a base match ran on into the next number and failed.
+_FOUR_FOURS = re.compile(r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+_ABROAD = re.compile(r"\+[0-9]{1,3}\x20?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[-.\x20])[0-9]{3,4}[-.\x20][0-9]{3,4}(?![0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_PASSWORD = re.compile(r"(?<![A-Za-z])(?:password|passwd|secret|api_key|apikey|token)[=:]\x20?[^\s,;]{6,}+", re.IGNORECASE)
+_PASSWORD = re.compile(r"(?<![A-Za-z])(?:password|passwd|secret|api_key|apikey|token)\x20?[=:]\x20?[\"']?[^\s,;\"']{6,}+[\"']?", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
@@ -50,7 +53,8 @@ _CONTEXT = {
 }
 _CONTEXT["pan"], _CONTEXT["tel"] = _CONTEXT["card"], _CONTEXT["phone"]
 
-#: Score of a span that its validator has confirmed, before context.
+#: Score of a span that its validator has confirmed, before context; of the shapes above, which need none.
+_SHAPED = 0.6
 _SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "pan": 0.3, "tel": 0.3, "secret": 0.7}
 
 
@@ -108,8 +112,8 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
             yield "phone", *m.span()
 
 
-def _more(text: str) -> Iterator[tuple[str, int, int]]:
-    """Proposals of the further kinds whose own validator agrees."""
+def _more(text: str) -> Iterator[tuple]:
+    """Proposals of the further kinds whose own validator agrees: kind, start, end and, if not the kind's own, score."""
     if _DIGIT.search(text):
         for m in _IBAN.finditer(text):
             if mod97(m[0].replace(" ", "")):
@@ -122,15 +126,19 @@ def _more(text: str) -> Iterator[tuple[str, int, int]]:
                 digits = _NOT_DIGIT.sub("", m[0])
                 if 13 <= len(digits) <= 15 and luhn(digits):
                     yield "pan", *m.span()
+        for m in _FOUR_FOURS.finditer(text):
+            if luhn(_NOT_DIGIT.sub("", m[0])):
+                yield "pan", *m.span(), _SHAPED
         yield from (("tel", *m.span()) for m in _TEL.finditer(text))
+        yield from (("tel", *m.span(), _SHAPED) for m in _ABROAD.finditer(text))
     yield from (("secret", *m.span()) for m in _KEY.finditer(text))
     if "=" in text or ":" in text:
         yield from (("secret", *m.span()) for m in _PASSWORD.finditer(text))
 
 
-def _scored(text: str, kind: str, start: int, end: int) -> Span:
+def _scored(text: str, kind: str, start: int, end: int, score: float | None = None) -> Span:
     near = text[max(0, start - NEARBY) : start] + " " + text[end : end + NEARBY]
-    return Span(kind, start, end, min(1.0, _SCORE[kind] + (0.3 if _CONTEXT[kind].search(near) else 0.0)))
+    return Span(kind, start, end, min(1.0, (score or _SCORE[kind]) + (0.3 if _CONTEXT[kind].search(near) else 0.0)))
 
 
 def find(text: str) -> list[Span]:

@@ -151,6 +151,37 @@ def test_similar_texts(spark):
     assert 0.12 < simhash.differing(0.8) < 0.16 and simhash.similar().radius == 89
 
 
+def test_repeated_phrases_make_no_copies(spark):
+    """A phrase that fills many documents, but is few of their distinct shingles, links none of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phrase = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(own)] + phrase * n)) for i, (own, n) in enumerate([(150, 5), (150, 10), (300, 10)] * 30)]
+    assert max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.25
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert simhash.keep_one(df).count() == len(rows)
+
+
+@pytest.mark.parametrize("slices", [(1024, 32), (4, 1)])
+def test_only_similar_sets_are_linked(spark, monkeypatch, slices):
+    """Of one proposed group, exactly the pairs of 0.8 and more are connected, in one slice or many."""
+    monkeypatch.setattr(simhash, "TEXTS", slices[0])
+    monkeypatch.setattr(simhash, "SPREAD", slices[1])
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    close = [(i, j) for i in range(60) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plan = simhash.Plan(5, 8, 512, lambda n: [[0] * 8], 0.8)  # every pair is proposed
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, plan).collect()}
+    assert [found[i] for i in range(60)] == grouped(60, close) and len(set(found.values())) > 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abAB é\t\n\x0b\x0c\r\x1c\x85\u00a0")), max_size=80))
 def test_fingerprint(text):

@@ -3,9 +3,11 @@
 Two plans share one engine. ``EXACT`` links 64-bit fingerprints of four-word
 shingles that differ in at most 4 bits and loses no link: with six blocks of
 bits or more, two such fingerprints agree on enough blocks to share a key.
-``SIMILAR`` links texts whose five-word shingles are similar by 0.8 or more, as
-512-bit fingerprints tell: such fingerprints differ in some 75 bits, too many
-for blocks, so keys are sampled bits, in as many tables as recall asks for.
+``similar()`` links texts whose distinct five-word shingles have a Jaccard
+similarity of 0.8 or more. 512-bit fingerprints only propose: those of such texts
+differ in some 75 bits, too many for blocks, so keys are sampled bits, in as many
+tables as recall asks for. Within each group that the proposals connect, the
+shingles themselves are compared, and only what they confirm is linked.
 
 Within the fingerprints of one key, distances to fixed reference fingerprints
 rule out pairs by their greatest coordinate difference (triangle inequality)
@@ -37,6 +39,9 @@ SLICE = 1 << 18
 #: Reference fingerprints of the pivot table, of up to eight words of 64 bits.
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (16, 8), dtype=np.uint64)
 
+#: A proposed group is compared in slices of up to this many texts and characters; smaller ones, from ``SPREAD`` texts on, in up to eight slices, so that they spread over tasks.
+TEXTS, CHARACTERS, SPREAD = 1024, 1 << 24, 32
+
 _FULL = (1 << 64) - 1
 
 
@@ -76,12 +81,16 @@ def sampled_keys(n: int, radius: int, words: int) -> list[list[int]]:
 
 @dataclass(frozen=True)
 class Plan:
-    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the masks of the keys for n fingerprints."""
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the masks of the keys for n fingerprints.
+
+    With a ``similarity``, fingerprints are of distinct shingles and only propose links, which the shingles must confirm.
+    """
 
     shingle: int
     words: int
     radius: int
     keys: Callable[[int], list[list[int]]]
+    similarity: float | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -96,10 +105,10 @@ EXACT = Plan(4, 1, 4, block_keys)
 
 
 def similar(shingle: int = 5, similarity: float = 0.8, words: int = 8) -> Plan:
-    """Links where the bits tell this similarity; 1.5 standard deviations more are let pass, so that few such pairs are missed."""
+    """Links of this similarity, proposed where the bits tell it; 1.5 standard deviations more are let pass, so that few such pairs are missed."""
     share = differing(similarity)
     radius = math.floor(64 * words * share + 1.5 * math.sqrt(64 * words * share * (1 - share)))
-    return Plan(shingle, words, radius, lambda n: sampled_keys(n, radius, words))
+    return Plan(shingle, words, radius, lambda n: sampled_keys(n, radius, words), similarity)
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -121,13 +130,18 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> int:
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> int:
     """Unsigned; no words in the text: zero; fewer than a shingle: the whole sequence is one.
 
-    A bit is 1 if set in over half of the shingles' hashes, repeats included.
-    Beyond 64 bits, each hash is mixed into further ones.
+    A bit is 1 if set in over half of the shingles' hashes, repeats included
+    unless ``distinct``. Beyond 64 bits, each hash is mixed into further ones.
     """
-    hashes, n = _hashes(text, shingle), 64 * words
+    hashes = _hashes(text, shingle)
+    return _voted(np.unique(hashes) if distinct else hashes, words)
+
+
+def _voted(hashes: np.ndarray, words: int) -> int:
+    n = 64 * words
     counts = np.zeros(n, np.int64)
     for i in range(0, len(hashes), 1 << 14):  # bounded, however long the text
         part = hashes[i : i + (1 << 14)]
@@ -137,15 +151,20 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> int:
 
 
 def fingerprints(plan: Plan):
-    """An Arrow UDF: text to the words of its fingerprint."""
+    """An Arrow UDF: text to the words of its fingerprint; with a similarity, also ``shingles``, a hash of the distinct ones."""
+    names = plan.columns if plan.similarity is None else [*plan.columns, "shingles"]
 
     def run(batch: pa.Array) -> pa.Array:
-        found = np.zeros((len(batch), plan.words), "<u8")
+        found = np.zeros((len(batch), len(names)), "<u8")
         for i, t in enumerate(texts(batch)):
-            found[i] = np.frombuffer(fingerprint(t, plan.shingle, plan.words).to_bytes(8 * plan.words, "little"), "<u8")
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(plan.words)], plan.columns)
+            hashes = _hashes(t, plan.shingle)
+            if plan.similarity is not None:
+                hashes = np.unique(hashes)
+                found[i, -1] = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
+            found[i, : plan.words] = np.frombuffer(_voted(hashes, plan.words).to_bytes(8 * plan.words, "little"), "<u8")
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(len(names))], names)
 
-    return array_udf("struct<" + ",".join(f"{c}:bigint" for c in plan.columns) + ">", run)
+    return array_udf("struct<" + ",".join(f"{c}:bigint" for c in names) + ">", run)
 
 
 def _signed(x: int) -> int:
@@ -353,6 +372,77 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect non-empty sets as all pairs of this Jaccard similarity would: no pair of one component is compared again."""
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = code.ravel()
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(code), bool)
+    root = np.arange(len(sets))
+    links: list[tuple[int, int]] = []
+    for i in range(len(sets) - 1):
+        rest = sizes[i + 1 :]
+        at = np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(rest, sizes[i]) / np.maximum(rest, sizes[i]) >= similarity)) + i + 1
+        if not len(at):
+            continue
+        own = code[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        if 4 * len(at) > len(rest):
+            common = np.add.reduceat(mark[code[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)[at - i - 1]
+        else:
+            common = np.array([np.count_nonzero(mark[code[starts[j] : starts[j] + sizes[j]]]) for j in at])
+        mark[own] = False
+        for j in at[common / (sizes[at] + sizes[i] - common) >= similarity]:
+            if root[j] != root[i]:
+                links.append((int(j), i))
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return links
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, text) come sorted by key; the links (u, v) of each key's texts."""
+    key, held = None, {}
+
+    def out() -> pa.RecordBatch:
+        nodes = [n for n, s in held.items() if len(s)]
+        found = similar_sets([held[n] for n in nodes], similarity) if len(nodes) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    for b in batches:
+        for k, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
+            if k != key:
+                if len(held) > 1:
+                    yield out()
+                key, held = k, {}
+            if node not in held:
+                held[node] = np.unique(_hashes(text, shingle))
+    if len(held) > 1:
+        yield out()
+
+
+def confirmed(docs: DataFrame, narrow: DataFrame, proposed: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): links, by node, of texts that are as similar as the plan asks, within each group of ``proposed`` (node, root) fingerprints.
+
+    Slices, and keys for their pairs, are as in ``links``: every pair of a group
+    meets in some task, however large the group is.
+    """
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "size")).alias("row")
+    nodes = narrow.groupBy("node", "print").agg(row).select("node", "print", "row.*")
+    grouped = nodes.join(proposed.select(F.col("node").alias("print"), "root"), "print", "left").select("node", "doc_id", "text_key", "size", F.coalesce("root", "print").alias("group"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
+    s = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("size") / CHARACTERS), F.least(F.lit(8), F.ceil(F.col("n") / SPREAD)))
+    sizes = sizes.select("group", F.least(s, F.col("n")).cast("int").alias("s"))
+    wanted = cut(grouped.select("node", "doc_id", "text_key", "group").join(sizes.hint("rebalance"), "group").select("node", "doc_id", "text_key", "group", "s"))
+    rows = pick(docs, "doc_id", "text").withColumnsRenamed({"doc_id": "k_id"}).withColumn("k_text", F.xxhash64("text"))
+    found = rows.join(wanted, rows["k_id"].eqNullSafe(wanted["doc_id"]) & (rows["k_text"] == wanted["text_key"]))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("s")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
+    cells = found.select("group", "node", "text", F.explode(pairs).alias("p")).select(F.xxhash64("group", "p.a", "p.b").alias("key"), "node", "text")
+    shingle, similarity = plan.shingle, plan.similarity
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _confirm(batches, shingle, similarity), "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT, slice_size: int = SLICE) -> DataFrame:
     """(doc_id, f0, ..., node, text_key, component_id) for each row: the smallest doc_id that links lead to.
 
@@ -360,12 +450,22 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, slice_size: int = SLICE
     every text without words. Repeated rows each give a row. Null ids belong to
     their component but never name it, unless it has no other (then null). An
     empty table gives no rows; other columns are ignored. ``text_key`` is a hash
-    of the text, to find the row again.
+    of the text, to find the row again. With a similarity, ``node`` stands for
+    the distinct shingles, and links are those that they confirm.
     """
-    found = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), fingerprints(plan)("text").alias("f"))
-    narrow = cut(found.select("doc_id", "text_key", "f.*").withColumn("node", plan.node()))
-    distinct = cut(narrow.groupBy("node", *plan.columns).agg(F.min("doc_id").alias("rep")))
-    stars = components(links(distinct, distinct.count(), plan, slice_size))
+    found = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("size"), fingerprints(plan)("text").alias("f"))
+    narrow = found.select("doc_id", "text_key", "size", "f.*")
+    if plan.similarity is None:
+        narrow = cut(narrow.drop("size").withColumn("node", plan.node()))
+        distinct = cut(narrow.groupBy("node", *plan.columns).agg(F.min("doc_id").alias("rep")))
+        stars = components(links(distinct, distinct.count(), plan, slice_size))
+    else:
+        narrow = cut(narrow.withColumnRenamed("shingles", "node").withColumn("print", plan.node()))
+        prints = cut(narrow.select(*plan.columns).distinct())
+        proposed = components(links(prints, prints.count(), plan, slice_size))
+        narrow = narrow.drop(*plan.columns)
+        distinct = cut(narrow.groupBy("node").agg(F.min("doc_id").alias("rep")))
+        stars = components(confirmed(docs, narrow, proposed, plan))
     least = distinct.select(F.col("node").alias("n"), "rep")
     linked = cut(stars.join(least, stars["node"] == least["n"]).select("node", "root", "rep"))
     named = linked.groupBy("root").agg(F.min("rep").alias("component_id")).hint("rebalance")
@@ -381,7 +481,7 @@ def fingerprint_hex(column: str = "f0") -> Column:
 def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The documents, one of each component: the row of its smallest doc_id (a null id only where there is no other).
 
-    Unless told otherwise, five-word shingles and a similarity of 0.8. Of rows
+    Unless told otherwise, distinct five-word shingles and a similarity of 0.8. Of rows
     that repeat the id and text that stay, one stays. Columns are kept as they are.
     """
     found = near_duplicates(docs, plan or similar())

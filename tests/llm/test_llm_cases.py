@@ -162,6 +162,20 @@ def test_repeated_phrases_make_no_copies(spark):
     assert simhash.keep_one(df).count() == len(rows)
 
 
+def test_edge_of_similarity(spark):
+    """Pairs just over 0.8, without a third copy to link them: of each, one goes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(250):
+        base = [word() for _ in range(1000)]
+        # 996 shingles each; 110 changed at an end leave 886 of 1106
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:890] + [word() for _ in range(110)]))]
+    assert 0.8 <= jaccard(rows[0][1], rows[1][1]) < 0.803
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert simhash.keep_one(df).count() == 250
+
+
 @pytest.mark.parametrize("slices", [(1024, 32), (4, 1)])
 def test_only_similar_sets_are_linked(spark, monkeypatch, slices):
     """Of one proposed group, exactly the pairs of 0.8 and more are connected, in one slice or many."""

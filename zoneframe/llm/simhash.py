@@ -58,7 +58,7 @@ def block_keys(n: int, radius: int = 4) -> list[list[int]]:
     return [[sum(c)] for c in combinations(bits, blocks - radius)]
 
 
-#: Share of the pairs at the very radius of a link that share a key, if their bits are independent; nearer pairs do more often.
+#: Share of the pairs at the distance given to ``sampled_keys`` that share a key, if their bits are independent; nearer pairs do more often.
 RECALL = 0.97
 
 
@@ -83,7 +83,7 @@ def sampled_keys(n: int, radius: int, words: int) -> list[list[int]]:
 class Plan:
     """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the masks of the keys for n fingerprints.
 
-    With a ``similarity``, fingerprints are of distinct shingles and only propose links, which the shingles must confirm.
+    With a ``similarity``, fingerprints are of distinct shingles and only propose links, which the shingles must confirm; those within ``reach`` do.
     """
 
     shingle: int
@@ -91,6 +91,11 @@ class Plan:
     radius: int
     keys: Callable[[int], list[list[int]]]
     similarity: float | None = None
+    reach: int | None = None
+
+    @property
+    def proposes(self) -> int:
+        return self.radius if self.reach is None else self.reach
 
     @property
     def columns(self) -> list[str]:
@@ -105,10 +110,16 @@ EXACT = Plan(4, 1, 4, block_keys)
 
 
 def similar(shingle: int = 5, similarity: float = 0.8, words: int = 8) -> Plan:
-    """Links of this similarity, proposed where the bits tell it; 1.5 standard deviations more are let pass, so that few such pairs are missed."""
+    """Links of this similarity, whose shingles are compared.
+
+    Bits alone would tell such links within the radius, of 1.5 standard
+    deviations more than expected, which misses some. So pairs are proposed
+    within 6 deviations more, and tables are enough for pairs at 4: a wider
+    search costs comparisons, but no document.
+    """
     share = differing(similarity)
-    radius = math.floor(64 * words * share + 1.5 * math.sqrt(64 * words * share * (1 - share)))
-    return Plan(shingle, words, radius, lambda n: sampled_keys(n, radius, words), similarity)
+    radius, far, reach = (math.floor(64 * words * share + d * math.sqrt(64 * words * share * (1 - share))) for d in (1.5, 4, 6))
+    return Plan(shingle, words, radius, lambda n: sampled_keys(n, far, words), similarity, reach)
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -332,7 +343,7 @@ def links(distinct: DataFrame, n: int, plan: Plan = EXACT, slice_size: int = SLI
     if n > slice_size:
         keyed = _sliced(keyed, slice_size, plan)
     parts = keyed.repartition("key").sortWithinPartitions("key")
-    words, radius = plan.words, plan.radius
+    words, radius = plan.words, plan.proposes
     names = [f"{c}{w}" for c in "uv" for w in range(words)]
     found = parts.mapInArrow(lambda batches: _find_links(batches, words, radius), ", ".join(f"{c} bigint" for c in names))
     return found.select(plan.node("u").alias("u"), plan.node("v").alias("v"))

@@ -437,6 +437,16 @@ def test_further_spans():
     assert pii.mask("a x@y.zz b", pii.find("a x@y.zz b")) == "a [EMAIL] b"
 
 
+@pytest.mark.parametrize("after", ["", " BIC", " I", " 2024", " AND MORE WORDS IN UPPER CASE FOLLOW", " GB82 WEST 1234 5698 7654 32", " please"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
+def test_ibans_before_other_words(iban, after):
+    for before in ("", "REF AB12 ", "IBAN "):
+        text = before + iban + after
+        spans = [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+        assert spans == [iban, *([after.strip()] if "GB82" in after else [])]
+    assert not [s for s in pii.find(iban[:-1] + "9X" + after) if s.kind == "iban" and s.start == 0]
+
+
 def test_long_runs_take_no_square():
     import time
 

@@ -111,6 +111,20 @@ def test_token_counts_of_any_text(text):
     assert token_count.counting(path).count(text) == op9(text)[1]
 
 
+@pytest.mark.parametrize("mark", ["\u0331", "\u05b7", "\u0307\u0323", "\u0345a"])
+def test_token_counts_of_every_character_before_a_mark(mark):
+    path = P.path("word_bpe_49k.json")
+    held = [chr(c) + mark for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x10000 or c % 16 == 0)]
+    found = library("word_bpe_49k.json").encode_batch_fast(held, add_special_tokens=False)
+    assert [(t, n) for t, n, e in zip(held, token_count.counting(path).counts(held), found) if n != len(e)] == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("İIiẞßΣh\u0131\u0307\u0323\u05b7\u0331\u0345\u1e96 .")), max_size=12))
+def test_token_counts_of_mixed_marks(text):
+    assert token_count.counting(P.path("word_bpe_49k.json")).count(text) == op9(text)[1]
+
+
 def test_near_duplicates(odd, none):
     found = simhash.near_duplicates(odd).select("doc_id", simhash.fingerprint_hex(), "component_id")
     assert got(found) == want(op2(ODD))

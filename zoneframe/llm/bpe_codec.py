@@ -69,7 +69,8 @@ def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
         end = run.end() - (run.end() < len(text))
         for piece in pieces(text[done : run.start()]):
             ids += encoding.encode_ordinary(piece)
-        ids += encoding._encode_single_piece(text[run.start() : end])
+        if end > run.start():
+            ids += encoding._encode_single_piece(text[run.start() : end])
         done = end
     for piece in pieces(text[done:]):
         ids += encoding.encode_ordinary(piece)

@@ -1,5 +1,11 @@
 """Writing, reading, tools, streams, and every query against its SQL."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
@@ -235,3 +241,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == library.flagship(spark, SF).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+ALONE = """
+import sys
+import __spark_entry__ as e
+found, sql = e.queries(), e.oracle_sql()
+assert set(sql) <= set(found) and "flagship" in found
+assert not [k for k in found if k.startswith("op") or k == "pipeline"], sorted(found)
+assert not any(m.startswith("zoneframe.llm") for m in sys.modules)
+"""
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_corpus_operators(tmp_path, pipeline):
+    """A copy without the optional package, with and without the pipeline that needs it, has all other queries."""
+    root, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    shutil.copytree(root / "zoneframe", copy / "zoneframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", copy)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", copy)
+    found = subprocess.run([sys.executable, "-B", "-c", ALONE], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stderr[-2000:]

@@ -141,28 +141,86 @@ def jaccard(a, b):
 
 
 def test_similar_texts(spark):
-    """Of each text and its near copies (0.8 and more alike) one stays; texts less than half alike all stay; the rest may go either way."""
+    """Exactly the classes that links of 0.8 and more make, among copies of all grades."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    rows, clean = [], []
-    for g in range(150):
-        base = [word() for _ in range(rng.choice([60, 200, 600]))]
-        rows.append((len(rows), " ".join(base)))
-        for _ in range(2):
+    texts = []
+    for _ in range(150):
+        base = [word() for _ in range(rng.choice([4, 9, 25, 60, 200, 600]))]
+        texts.append(" ".join(base))
+        for share in (100, 60, 40, 30, 20):
             copy = list(base)
-            for i in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+            for i in rng.sample(range(len(copy)), max(1, len(copy) // share)):
                 copy[i] = word()
-            if jaccard(rows[-1][1], " ".join(copy)) >= 0.8:
-                rows.append((len(rows), " ".join(copy)))
-        half = base[: len(base) // 3] + [word() for _ in range(len(base))]
-        clean.append(len(rows))
-        rows.append((len(rows), " ".join(half)))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
-    groups = len(clean)
-    assert set(clean) <= kept
-    assert groups <= len(kept) - groups <= groups * 1.03
-    assert 0.12 < simhash.differing(0.8) < 0.16 and simhash.similar().radius == 89
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[: len(base) // 2] + [word() for _ in range(len(base))]))
+        texts.append(" ".join(base + [word()]))
+    close = [(i, j) for i in range(len(texts)) for j in range(i - i % 8, i) if jaccard(texts[i], texts[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, simhash.similar()).collect()}
+    want = grouped(len(texts), close)
+    assert [found[i] for i in range(len(texts))] == want and len(close) > 200
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(want)
+    assert 0.12 < simhash.differing(0.8) < 0.16 and simhash.similar().radius == 73
+
+
+@pytest.mark.parametrize("shared", [0.8, 0.85])
+def test_recall_of_the_buckets(shared):
+    """Pairs of this similarity meet in as many buckets as the formula says, in sets of few hashes and of many."""
+    rng = np.random.default_rng(5)
+    assert simhash.recall(shared) > 1 - 1e-7
+    met = []
+    for t in range(400):
+        n = (18, 90, 900)[t % 3]
+        own = round(n * (1 - shared) / (2 * shared))
+        both = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        a, b = (simhash.bucket_keys(np.unique(np.concatenate([both, rng.integers(0, 1 << 64, own, dtype=np.uint64)]))) for _ in "ab")
+        met.append(np.count_nonzero(a == b) / simhash.BANDS)
+    assert min(met) > 0 and abs(np.mean(met) - shared**simhash.LEAST) < 0.03
+
+
+def test_buckets_are_as_many_for_any_corpus(spark):
+    """What a document costs does not grow with the corpus."""
+    assert len(simhash.bucket_keys(np.arange(5, dtype=np.uint64))) == len(simhash.bucket_keys(np.arange(50_000, dtype=np.uint64))) == simhash.BANDS
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chained_links(seed):
+    """A large bucket's proposals connect what all pairs would; sizes rule out, and few shingles rule out nothing."""
+    plan, rng = simhash.similar(), random.Random(seed)
+    fps, sizes = [], []
+    for _ in range(40):
+        base, size = rng.getrandbits(256), rng.choice([10, 70, 400])
+        for _ in range(8):
+            x = base
+            for b in rng.sample(range(256), rng.choice([5, 30, 60, 90])):
+                x ^= 1 << b
+            fps.append(x)
+            sizes.append(max(1, int(size * rng.uniform(0.7, 1.3))))
+    f = np.array([[x >> (64 * w) & (1 << 64) - 1 for w in range(4)] for x in fps], np.uint64)
+    n = np.array(sizes)
+    fit = lambda i, j: min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and (min(sizes[i], sizes[j]) < simhash.FEW or (fps[i] ^ fps[j]).bit_count() <= plan.radius)
+    all_pairs = [(i, j) for i in range(len(fps)) for j in range(i) if fit(i, j)]
+    found = simhash.chained_links(f, plan, n)
+    assert all(fit(i, j) for i, j in found) and len(found) < len(fps)
+    assert grouped(len(fps), found) == grouped(len(fps), all_pairs)
+
+
+@pytest.mark.parametrize("size", [4, 64])
+def test_proposals_over_slices(spark, monkeypatch, size):
+    """Crowded buckets, cut into slices or not, propose the same components."""
+    monkeypatch.setattr(simhash, "PAIRWISE", 8)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(90)] = f"x{i}"
+        texts.append(" ".join(copy))
+    close = [(i, j) for i in range(40) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, simhash.similar(), size).collect()}
+    assert [found[i] for i in range(40)] == grouped(40, close)
 
 
 def test_repeated_phrases_make_no_copies(spark):
@@ -205,8 +263,7 @@ def test_only_similar_sets_are_linked(spark, monkeypatch, slices):
         rows.append((i, " ".join(copy)))
     close = [(i, j) for i in range(60) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    plan = simhash.Plan(5, 8, 512, lambda n: [[0] * 8], 0.8)  # every pair is proposed
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, plan).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, simhash.similar()).collect()}
     assert [found[i] for i in range(60)] == grouped(60, close) and len(set(found.values())) > 1
 
 
@@ -254,7 +311,7 @@ def test_dense_links(seed):
 def test_keys_lose_no_pair():
     rng = random.Random(1)
     for n in (10, 1 << 25, 1 << 33):
-        masks = [m for (m,) in simhash.block_keys(n)]
+        masks = simhash.block_keys(n)
         for _ in range(300):
             x = y = rng.getrandbits(64)
             for b in rng.sample(range(64), 4):
@@ -269,13 +326,13 @@ def test_links_over_slices(spark, monkeypatch, size):
     fps = family(random.Random(9), 600, 40)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "f0 bigint")
-    edges = simhash.links(df, len(fps), simhash.EXACT, size).collect()
+    edges = simhash.links(df, len(fps), size).collect()
     place = {x: i for i, x in enumerate(signed)}
     assert grouped(len(fps), [(place[r["u"]], place[r["v"]]) for r in edges]) == classes(fps)
     key = np.sort(np.array([1, 1, 1, 2, 2, 3, 4, 4, 4, 4]))
     x = np.array([0, 1, 3, 8, 9, 5, 7, 1 << 40, (1 << 40) + 1, 6], np.uint64)
     whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.view(np.int64))], ["key", "f0"])
-    pairs = [sorted((r["u0"], r["v0"]) for b in simhash._find_links(iter(bs), 1, 4) for r in b.to_pylist()) for bs in ([whole], [whole.slice(i, 1) for i in range(10)])]
+    pairs = [sorted((r["u"], r["v"]) for b in simhash._find_links(iter(bs), simhash.EXACT) for r in b.to_pylist()) for bs in ([whole], [whole.slice(i, 1) for i in range(10)])]
     joined = [grouped(11, [(sorted(set(x.tolist())).index(u), sorted(set(x.tolist())).index(v)) for u, v in p]) for p in pairs]
     assert joined[0] == joined[1]
 

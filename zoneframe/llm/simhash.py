@@ -4,10 +4,12 @@ Two plans share one engine. ``EXACT`` links 64-bit fingerprints of four-word
 shingles that differ in at most 4 bits and loses no link: with six blocks of
 bits or more, two such fingerprints agree on enough blocks to share a key.
 ``similar()`` links texts whose distinct five-word shingles have a Jaccard
-similarity of 0.8 or more. 512-bit fingerprints only propose: those of such texts
-differ in some 75 bits, too many for blocks, so keys are sampled bits, in as many
-tables as recall asks for. Within each group that the proposals connect, the
-shingles themselves are compared, and only what they confirm is linked.
+similarity of 0.8 or more. Fingerprints of such texts differ in some 15 % of
+their bits, too many for blocks. So texts meet in buckets of MinHash keys, a
+fixed number for each text whatever the corpus (``recall``), and only key and
+node travel; fingerprints are fetched once for what shares a bucket, and rule
+out pairs. What they leave only proposes: within each group that the proposals
+connect, the shingles themselves are compared, and what they confirm is linked.
 
 Within the fingerprints of one key, distances to fixed reference fingerprints
 rule out pairs by their greatest coordinate difference (triangle inequality)
@@ -18,7 +20,7 @@ emitted but those of a spanning forest.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -33,8 +35,14 @@ from ._common import array_udf, cut, numbered, pick, texts
 #: Up to this many fingerprints of one key are compared offset by offset; more go through leaders.
 PAIRWISE = 512
 
-#: A key with more distinct fingerprints than this is dealt to several tasks.
-SLICE = 1 << 18
+#: A key with more distinct fingerprints than this is dealt to several tasks: of the exact plan, of the similarity plan.
+SLICE, SIMILAR_SLICE = 1 << 15, 1 << 13
+
+#: MinHash keys of a text, least hashes that make up each.
+BANDS, LEAST = 32, 4
+
+#: Fingerprints of fewer shingles than this rule out nothing in the similarity plan: their bits differ by chance.
+FEW = 64
 
 #: Reference fingerprints of the pivot table, of up to eight words of 64 bits.
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (16, 8), dtype=np.uint64)
@@ -45,7 +53,7 @@ TEXTS, CHARACTERS, SPREAD = 1024, 1 << 24, 32
 _FULL = (1 << 64) - 1
 
 
-def block_keys(n: int, radius: int = 4) -> list[list[int]]:
+def block_keys(n: int, radius: int = 4) -> list[int]:
     """Bit masks, of which two 64-bit fingerprints within ``radius`` agree on one at least.
 
     With b blocks, at most ``radius`` of them differ, so the other b - radius
@@ -55,11 +63,7 @@ def block_keys(n: int, radius: int = 4) -> list[list[int]]:
     blocks = 6 if n <= 1 << 24 else 7 if n <= 1 << 31 else 8
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:])]
-    return [[sum(c)] for c in combinations(bits, blocks - radius)]
-
-
-#: Share of the pairs at the distance given to ``sampled_keys`` that share a key, if their bits are independent; nearer pairs do more often.
-RECALL = 0.97
+    return [sum(c) for c in combinations(bits, blocks - radius)]
 
 
 def differing(similarity: float) -> float:
@@ -67,69 +71,62 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_keys(n: int, radius: int, words: int) -> list[list[int]]:
-    """Masks of sampled bits: enough bits that few unrelated fingerprints share a key, enough masks for ``RECALL``."""
-    bits = max(12, math.ceil(math.log2(max(2, n))) - 8)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - radius / (64 * words)) ** bits))
-    rng = np.random.default_rng(256)
-    masks = []
-    for _ in range(tables):
-        chosen = rng.choice(64 * words, bits, replace=False)
-        masks.append([sum(1 << (int(b) % 64) for b in chosen if b // 64 == w) for w in range(words)])
-    return masks
+def recall(similarity: float, bands: int = BANDS, least: int = LEAST) -> float:
+    """Share of the pairs of this Jaccard similarity that meet in a bucket: all but 5e-8 of them at 0.8, all but 2e-11 at 0.85."""
+    return 1 - (1 - similarity**least) ** bands
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and the masks of the keys for n fingerprints.
+    """Words of a shingle, 64-bit words of a fingerprint, and differing bits that still link (exact) or propose.
 
-    With a ``similarity``, fingerprints are of distinct shingles and only propose links, which the shingles must confirm; those within ``reach`` do.
+    With a ``similarity``, fingerprints are of distinct shingles and only propose links, which the shingles must confirm.
     """
 
     shingle: int
     words: int
     radius: int
-    keys: Callable[[int], list[list[int]]]
     similarity: float | None = None
-    reach: int | None = None
-
-    @property
-    def proposes(self) -> int:
-        return self.radius if self.reach is None else self.reach
 
     @property
     def columns(self) -> list[str]:
         return [f"f{i}" for i in range(self.words)]
 
-    def node(self, prefix: str = "f") -> Column:
-        """One number for a fingerprint: itself, or a hash of a longer one."""
-        return F.col(f"{prefix}0") if self.words == 1 else F.xxhash64(*(f"{prefix}{i}" for i in range(self.words)))
-
 
-EXACT = Plan(4, 1, 4, block_keys)
+EXACT = Plan(4, 1, 4)
 
 
-def similar(shingle: int = 5, similarity: float = 0.8, words: int = 8) -> Plan:
+def similar(shingle: int = 5, similarity: float = 0.8, words: int = 4) -> Plan:
     """Links of this similarity, whose shingles are compared.
 
-    Bits alone would tell such links within the radius, of 1.5 standard
-    deviations more than expected, which misses some. So pairs are proposed
-    within 6 deviations more, and tables are enough for pairs at 4: a wider
-    search costs comparisons, but no document.
+    Bits rule out pairs only beyond 6 standard deviations more than such links
+    differ in: one link in a thousand million.
     """
     share = differing(similarity)
-    radius, far, reach = (math.floor(64 * words * share + d * math.sqrt(64 * words * share * (1 - share))) for d in (1.5, 4, 6))
-    return Plan(shingle, words, radius, lambda n: sampled_keys(n, far, words), similarity, reach)
+    radius = math.floor(64 * words * share + 6 * math.sqrt(64 * words * share * (1 - share)))
+    return Plan(shingle, words, radius, similarity)
+
+
+_TO_SPACE = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
-    norm = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+    """XXH64 of each shingle in order. Beside the text, eight bytes a word are held, and Python objects of a part at a time."""
+    norm = (text or "").encode("utf-8", "replace").lower().translate(_TO_SPACE).strip(b" ")
+    while b"  " in norm:
+        norm = norm.replace(b"  ", b" ")
     if not norm:
         return np.zeros(0, np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32).tolist()
-    starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(norm)]
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(norm[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])] or [digest(norm, 42)], np.uint64)
+    if len(gaps) + 1 < shingle:
+        return np.array([digest(norm, 42)], np.uint64)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(norm)]])[shingle - 1 :]
+    out = np.empty(len(ends), np.uint64)
+    for i in range(0, len(ends), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        out[part] = [digest(norm[a:b], 42) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+    return out
 
 
 def _mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -157,21 +154,43 @@ def _voted(hashes: np.ndarray, words: int) -> int:
     for i in range(0, len(hashes), 1 << 14):  # bounded, however long the text
         part = hashes[i : i + (1 << 14)]
         wide = np.stack([part, *(_mixed(part, w) for w in range(1, words))], axis=1).astype("<u8")
-        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+_TURNS = np.random.default_rng(128).integers(0, 1 << 31, BANDS * LEAST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the least of the hashes in LEAST random orders."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * LEAST, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(short), 1 << 12):  # bounded, however long the text
+        np.minimum(least, (short[i : i + (1 << 12), None] * _TURNS[None, :]).min(axis=0), out=least)
+    two = least.view("<u8").reshape(BANDS, LEAST // 2)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in two.T:
+        key = _mixed(key ^ column, 1)
+    return key
+
+
 def fingerprints(plan: Plan):
-    """An Arrow UDF: text to the words of its fingerprint; with a similarity, also ``shingles``, a hash of the distinct ones."""
-    names = plan.columns if plan.similarity is None else [*plan.columns, "shingles"]
+    """An Arrow UDF: text to the words of its fingerprint.
+
+    With a similarity, also ``node``, a hash of the distinct shingles, their
+    number ``size``, and the bucket keys ``k0``, ....
+    """
+    alike = plan.similarity is not None
+    names = [*plan.columns, *(["node", "size", *(f"k{i}" for i in range(BANDS))] if alike else [])]
 
     def run(batch: pa.Array) -> pa.Array:
         found = np.zeros((len(batch), len(names)), "<u8")
         for i, t in enumerate(texts(batch)):
             hashes = _hashes(t, plan.shingle)
-            if plan.similarity is not None:
+            if alike:
                 hashes = np.unique(hashes)
-                found[i, -1] = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
+                found[i, plan.words : plan.words + 2] = xxhash.xxh64_intdigest(hashes.tobytes(), 7), len(hashes)
+                found[i, plan.words + 2 :] = bucket_keys(hashes)
             found[i, : plan.words] = np.frombuffer(_voted(hashes, plan.words).to_bytes(8 * plan.words, "little"), "<u8")
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(len(names))], names)
 
@@ -187,17 +206,22 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def verified(f: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs (left, right) of rows of f are linked. ``near``: the pivot table, a row for each reference fingerprint."""
-    at = np.arange(len(left))
+def verified(f: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, plan: Plan, size: np.ndarray) -> np.ndarray:
+    """Which pairs (left, right) of rows of f are linked, or proposed. ``near``: the pivot table, a row for each reference fingerprint.
+
+    With a similarity, sizes alone rule out some pairs, and bits nothing of texts with few shingles.
+    """
+    at, few = np.arange(len(left)), np.zeros(0, np.int64)
+    if plan.similarity is not None:
+        less, more = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+        at = np.flatnonzero(less >= plan.similarity * more)
+        few, at = at[less[at] < FEW], at[less[at] >= FEW]
     for row in near:
-        at = at[np.abs(row[left[at]] - row[right[at]]) <= radius]
+        at = at[np.abs(row[left[at]] - row[right[at]]) <= plan.radius]
         if not len(at):
-            return at
-    if f.shape[1] > 1:  # half of the words is a lower bound
-        half = f[:, : f.shape[1] // 2]
-        at = at[distance(half[left[at]], half[right[at]]) <= radius]
-    return at[distance(f[left[at]], f[right[at]]) <= radius]
+            return few
+    at = at[distance(f[left[at]], f[right[at]]) <= plan.radius]
+    return np.concatenate([few, at]) if len(few) else at
 
 
 def pivot_table(f: np.ndarray) -> np.ndarray:
@@ -276,87 +300,122 @@ def dense_links(both: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _edges_of(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of the same key, as (fingerprint, fingerprint of its local root)."""
+def chained_links(f: np.ndarray, plan: Plan, size: np.ndarray) -> list[tuple[int, int]]:
+    """Proposals that connect a large group as all its proposals would, whatever they are: no pair of one component is compared again."""
+    order = np.argsort(size, kind="stable")
+    f, size = f[order], size[order]
+    near, label = pivot_table(f), np.arange(len(f))
+    ends = np.searchsorted(size, size / plan.similarity, "right")
+    pairs: list[tuple[int, int]] = []
+    for i, end in enumerate(ends):
+        at = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+        if not len(at):
+            continue
+        hit = at[verified(f, near, np.full(len(at), i), at, plan, size)]
+        if len(hit):
+            met, first = np.unique(label[hit], return_index=True)
+            pairs += [(int(order[j]), int(order[i])) for j in hit[first]]
+            label[np.isin(label, met)] = label[i]
+    return pairs
+
+
+def _edges_of(key: np.ndarray, node: np.ndarray, f: np.ndarray, size: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints of the same key, as (node, node of its local root)."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     lefts, rights = [], []
     at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes))
     if len(at):
-        k, x = key[at], f[at]
+        k, x, n = key[at], f[at], size[at]
         near = pivot_table(x)
         i, off = np.arange(len(k)), 1
         while len(i := i[i + off < len(k)]) and len(i := i[k[i] == k[i + off]]):
-            hit = verified(x, near, i, i + off, radius)
+            hit = verified(x, near, i, i + off, plan, n)
             lefts.append(at[i[hit]])
             rights.append(at[i[hit] + off])
             off += 1
     for s, n in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE]):
-        if links := dense_links(f[s : s + n], radius):
-            pairs = np.array(links) + s
-            lefts.append(pairs[:, 0])
-            rights.append(pairs[:, 1])
+        own = slice(s, s + n)
+        if pairs := dense_links(f[own], plan.radius) if plan.similarity is None else chained_links(f[own], plan, size[own]):
+            found = np.array(pairs) + s
+            lefts.append(found[:, 0])
+            rights.append(found[:, 1])
     if not sum(map(len, lefts)):
-        return f[:0], f[:0]
-    nodes, code = np.unique(np.concatenate([f[np.concatenate(lefts)], f[np.concatenate(rights)]]), axis=0, return_inverse=True)
-    code = code.ravel()
+        return node[:0], node[:0]
+    nodes, code = np.unique(node[np.concatenate([*lefts, *rights])], return_inverse=True)
     half = len(code) // 2
     root = forest(len(nodes), code[:half], code[half:])
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
 
 
-def _find_links(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, f0, ...) come sorted by key; the last key of a batch waits for the next one."""
+def _find_links(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size, f0, ...), or (key, f0), come sorted by key; the last key of a batch waits for the next one."""
 
-    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        u, v = _edges_of(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]), radius)
-        columns = [pa.array(np.ascontiguousarray(e[:, w]).view(np.int64)) for e in (u, v) for w in range(words)]
-        return pa.RecordBatch.from_arrays(columns, [f"{c}{w}" for c in "uv" for w in range(words)])
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        u, v = _edges_of(*(np.concatenate(x) for x in zip(*parts)), plan)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        k, *parts = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        x = np.stack(parts, axis=1).view(np.uint64)
+        k, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(k):
             continue
+        node, size = (rest[0], rest[0]) if plan.similarity is None else rest[:2]
+        x = np.stack(rest[-plan.words :], axis=1).view(np.uint64)
         last = int(np.searchsorted(k, k[-1]))
         if last or not held or held[-1][0][0] != k[-1]:
-            done = [*held, (k[:last], x[:last])]
+            done = [*held, (k[:last], node[:last], x[:last], size[:last])]
             held = []
             if sum(len(p[0]) for p in done):
                 yield out(done)
-        held.append((k[last:], x[last:]))
+        held.append((k[last:], node[last:], x[last:], size[last:]))
     if held:
         yield out(held)
 
 
-def links(distinct: DataFrame, n: int, plan: Plan = EXACT, slice_size: int = SLICE) -> DataFrame:
-    """(u, v): links, by node, over n distinct fingerprints in columns f0, ..., with the components of all links that share a key.
+def _cells(s: Column, node: str) -> Column:
+    """The pairs (a, b), a <= b, of ``s`` slices that a node is in, when it is dealt to one of them by hash: every two nodes meet in one."""
+    own = F.pmod(F.xxhash64(node, F.lit(7)), s).cast("int")
+    return F.transform(F.sequence(F.lit(0), s - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
+
+
+def links(distinct: DataFrame, n: int, slice_size: int = SLICE) -> DataFrame:
+    """(u, v): links over n distinct fingerprints in column f0, with the components of all links that share a key.
 
     A key that more than ``slice_size`` fingerprints share is cut into slices by
     hash, and each pair of slices becomes a key of its own, so no task holds
     more than two slices and no link is lost.
     """
-    keys = [F.xxhash64(F.lit(i), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(plan.columns, masks))) for i, masks in enumerate(plan.keys(n))]
-    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), *plan.columns)
+    keys = [F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(block_keys(n))]
+    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), "f0")
     if n > slice_size:
-        keyed = _sliced(keyed, slice_size, plan)
-    parts = keyed.repartition("key").sortWithinPartitions("key")
-    words, radius = plan.words, plan.proposes
-    names = [f"{c}{w}" for c in "uv" for w in range(words)]
-    found = parts.mapInArrow(lambda batches: _find_links(batches, words, radius), ", ".join(f"{c} bigint" for c in names))
-    return found.select(plan.node("u").alias("u"), plan.node("v").alias("v"))
+        crowded = keyed.groupBy("key").count().where(F.col("count") > slice_size).select("key", F.ceil(F.col("count") / slice_size).cast("int").alias("s"))
+        joined = keyed.join(crowded, "key", "left")
+        cells = joined.where(F.col("s").isNotNull()).select("key", "f0", F.explode(_cells(F.col("s"), "f0")).alias("p"))
+        keyed = joined.where(F.col("s").isNull()).select("key", "f0").unionByName(cells.select(F.xxhash64("key", "p.a", "p.b").alias("key"), "f0"))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _find_links(batches, EXACT), "u bigint, v bigint")
+
 
+def proposals(nodes: DataFrame, plan: Plan, slice_size: int = SIMILAR_SLICE) -> DataFrame:
+    """(u, v): proposed links over distinct (node, size, f0, ..., k0, ...), with the components of all proposals that share a bucket.
 
-def _sliced(keyed: DataFrame, size: int, plan: Plan) -> DataFrame:
-    crowded = keyed.groupBy("key").count().where(F.col("count") > size).select("key", F.ceil(F.col("count") / size).cast("int").alias("s"))
-    own = F.pmod(F.xxhash64(*plan.columns, F.lit(7)), F.col("s")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
-    joined = keyed.join(crowded, "key", "left")
-    whole = joined.where(F.col("s").isNull()).select("key", *plan.columns)
-    cells = joined.where(F.col("s").isNotNull()).select("key", *plan.columns, F.explode(pairs).alias("p"))
-    return whole.unionByName(cells.select(F.xxhash64("key", "p.a", "p.b").alias("key"), *plan.columns))
+    Only (key, node) is shuffled for all buckets. Those of one node go, of those
+    with the same nodes one stays, and the fingerprints are joined to the rest.
+    Buckets of more than ``slice_size`` nodes are cut into slices as in ``links``.
+    """
+    keyed = nodes.where(F.col("size") > 0).select(F.explode(F.array(*(f"k{i}" for i in range(BANDS)))).alias("key"), "node")
+    mark = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", F.lit(3))).alias("mark")]
+    shared = keyed.groupBy("key").agg(*mark).where(F.col("n") > 1)
+    shared = cut(shared.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")))
+    two = shared.where(F.col("n") == 2).select("key", "n", F.explode(F.array("low", "high")).alias("node"))
+    more = keyed.join(shared.where(F.col("n") > 2).select("key", "n").hint("rebalance"), "key").select("key", "n", "node")
+    held = two.unionByName(more).join(nodes.select("node", "size", *plan.columns), "node")
+    s = F.ceil(F.col("n") / slice_size).cast("int")
+    cells = held.select(F.explode(_cells(s, "node")).alias("p"), "key", "n", "node", "size", *plan.columns)
+    key = F.when(F.col("n") > slice_size, F.xxhash64("key", "p.a", "p.b")).otherwise(F.col("key")).alias("key")
+    parts = cells.select(key, "node", "size", *plan.columns).repartition("key").sortWithinPartitions("key")
+    return parts.mapInArrow(lambda batches: _find_links(batches, plan), "u bigint, v bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -433,50 +492,47 @@ def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float)
 
 
 def confirmed(docs: DataFrame, narrow: DataFrame, proposed: DataFrame, plan: Plan) -> DataFrame:
-    """(u, v): links, by node, of texts that are as similar as the plan asks, within each group of ``proposed`` (node, root) fingerprints.
+    """(u, v): links of texts that are as similar as the plan asks, within each group of ``proposed`` (node, root).
 
     Slices, and keys for their pairs, are as in ``links``: every pair of a group
     meets in some task, however large the group is.
     """
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "size")).alias("row")
-    nodes = narrow.groupBy("node", "print").agg(row).select("node", "print", "row.*")
-    grouped = nodes.join(proposed.select(F.col("node").alias("print"), "root"), "print", "left").select("node", "doc_id", "text_key", "size", F.coalesce("root", "print").alias("group"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
-    s = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("size") / CHARACTERS), F.least(F.lit(8), F.ceil(F.col("n") / SPREAD)))
-    sizes = sizes.select("group", F.least(s, F.col("n")).cast("int").alias("s"))
-    wanted = cut(grouped.select("node", "doc_id", "text_key", "group").join(sizes.hint("rebalance"), "group").select("node", "doc_id", "text_key", "group", "s"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "length")).alias("row")
+    grouped = narrow.join(proposed.select("node", "root").hint("rebalance"), "node").groupBy("node", "root").agg(first).select("node", "root", "row.*")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    s = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("length") / CHARACTERS), F.least(F.lit(8), F.ceil(F.col("n") / SPREAD)))
+    sizes = sizes.select("root", F.least(s, F.col("n")).cast("int").alias("s"))
+    wanted = cut(grouped.select("node", "doc_id", "text_key", "root").join(sizes.hint("rebalance"), "root").select("node", "doc_id", "text_key", "root", "s"))
     rows = pick(docs, "doc_id", "text").withColumnsRenamed({"doc_id": "k_id"}).withColumn("k_text", F.xxhash64("text"))
     found = rows.join(wanted, rows["k_id"].eqNullSafe(wanted["doc_id"]) & (rows["k_text"] == wanted["text_key"]))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("s")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
-    cells = found.select("group", "node", "text", F.explode(pairs).alias("p")).select(F.xxhash64("group", "p.a", "p.b").alias("key"), "node", "text")
+    cells = found.select("root", "node", "text", F.explode(_cells(F.col("s"), "node")).alias("p")).select(F.xxhash64("root", "p.a", "p.b").alias("key"), "node", "text")
     shingle, similarity = plan.shingle, plan.similarity
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _confirm(batches, shingle, similarity), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = EXACT, slice_size: int = SLICE) -> DataFrame:
-    """(doc_id, f0, ..., node, text_key, component_id) for each row: the smallest doc_id that links lead to.
+def near_duplicates(docs: DataFrame, plan: Plan = EXACT, slice_size: int | None = None) -> DataFrame:
+    """(doc_id, f0, node, text_key, component_id) for each row: the smallest doc_id that links lead to.
 
     A null text has no words, so its fingerprint is zero and it is linked to
     every text without words. Repeated rows each give a row. Null ids belong to
     their component but never name it, unless it has no other (then null). An
     empty table gives no rows; other columns are ignored. ``text_key`` is a hash
     of the text, to find the row again. With a similarity, ``node`` stands for
-    the distinct shingles, and links are those that they confirm.
+    the distinct shingles, links are those that they confirm, and there is no f0.
     """
-    found = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("size"), fingerprints(plan)("text").alias("f"))
-    narrow = found.select("doc_id", "text_key", "size", "f.*")
+    found = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("length"), fingerprints(plan)("text").alias("f"))
+    narrow = found.select("doc_id", "text_key", "length", "f.*")
     if plan.similarity is None:
-        narrow = cut(narrow.drop("size").withColumn("node", plan.node()))
-        distinct = cut(narrow.groupBy("node", *plan.columns).agg(F.min("doc_id").alias("rep")))
-        stars = components(links(distinct, distinct.count(), plan, slice_size))
+        narrow = cut(narrow.drop("length").withColumn("node", F.col("f0")))
+        distinct = cut(narrow.groupBy("node", "f0").agg(F.min("doc_id").alias("rep")))
+        stars = components(links(distinct, distinct.count(), slice_size or SLICE))
     else:
-        narrow = cut(narrow.withColumnRenamed("shingles", "node").withColumn("print", plan.node()))
-        prints = cut(narrow.select(*plan.columns).distinct())
-        proposed = components(links(prints, prints.count(), plan, slice_size))
-        narrow = narrow.drop(*plan.columns)
-        distinct = cut(narrow.groupBy("node").agg(F.min("doc_id").alias("rep")))
+        narrow = cut(narrow)
+        distinct = cut(narrow.groupBy("node", "size", *plan.columns, *(f"k{i}" for i in range(BANDS))).agg(F.min("doc_id").alias("rep")))
+        narrow = narrow.select("doc_id", "text_key", "length", "node")
+        proposed = components(proposals(distinct, plan, slice_size or SIMILAR_SLICE))
         stars = components(confirmed(docs, narrow, proposed, plan))
+        narrow, distinct = narrow.drop("length"), distinct.select("node", "rep")
     least = distinct.select(F.col("node").alias("n"), "rep")
     linked = cut(stars.join(least, stars["node"] == least["n"]).select("node", "root", "rep"))
     named = linked.groupBy("root").agg(F.min("rep").alias("component_id")).hint("rebalance")

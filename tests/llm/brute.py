@@ -96,7 +96,7 @@ def op4(rows, every=20, k=20):
     fit = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in fit if i % every == 0}):
-        own = next(v for i, v in fit if i == q)
+        own = min(v for i, v in fit if i == q)
         scored = sorted(((-sum(a * b for a, b in zip(own, v)), i) for i, v in fit if i != q))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return out

@@ -407,21 +407,41 @@ def test_topk(spark, rows, queries):
     assert topk.top_inner_products(few).count() == 4  # the query's own id is there twice
 
 
-def test_topk_blocks_prune_and_stay_exact():
+@pytest.mark.parametrize("n", [3000, 20_000])
+def test_topk_skips_postings_and_stays_exact(n):
+    """The proof comes before the last segment, so a share of the postings is never visited; the index is the same after packing."""
     rng = np.random.default_rng(3)
-    rows, q = rng.integers(-25, 26, (3000, 64)), rng.integers(-25, 26, (5, 64))
-    index = topk.Index(np.arange(3000), rows)
-    a, b, s = next(index.search(np.arange(5), q, 20, np.full(5, -np.inf)))
-    assert len(a) < 0.1 * 5 * 3000
-    exact = q @ rows.T
-    exact[np.arange(5), np.arange(5)] = -(10**9)
-    for i in range(5):
-        top = np.lexsort((np.arange(3000), -exact[i]))[:20]
-        mine = topk.best(a, index.ids[b], np.rint(s).astype(np.int64), 20)
-        assert index.ids[b][mine][a[mine] == i].tolist() == top.tolist()
-    big = rng.integers(-(10**7), 10**7, (50, 64))
-    a, b, s = next(topk.Index(np.arange(50), big).search(np.array([0]), big[:1], 20, np.full(1, -np.inf)))
-    assert dict(zip(b.tolist(), np.rint(s).astype(np.int64).tolist())) == {j: int(big[0] @ big[j]) for j in range(1, 50)}
+    rows, q = rng.normal(0, 8, (n, 64)).round().astype(np.int64), rng.normal(0, 8, (40, 64)).round().astype(np.int64)
+    index = topk.Index.unpacked(**topk.Index(np.arange(n), rows).packed())
+    few = 0
+    for i in range(40):
+        ids, scores = index.search(i, q[i])
+        few += len(ids)
+        exact = rows @ q[i]
+        assert i not in ids and (exact[ids] == scores).all()
+        exact[i] = -(10**9)
+        assert ids[topk.best(np.zeros(len(ids), int), ids, scores, 20)].tolist() == np.lexsort((np.arange(n), -exact))[:20].tolist()
+    assert few < 0.12 * 40 * n and index.held == 40 * n * 64 and index.visited < 0.9 * index.held
+
+
+def test_topk_of_large_numbers():
+    rng = np.random.default_rng(4)
+    for most in (10**3, 10**7, 10**12, 1 << 62):
+        big = rng.integers(-most, most, (400, 8))
+        ids, scores = topk.Index(np.arange(400), big).search(0, big[0])
+        clipped = [min(max(sum(int(a) * int(b) for a, b in zip(big[0], big[j])), -(1 << 63)), (1 << 63) - 1) for j in range(1, 400)]
+        assert set(zip(ids.tolist(), scores.tolist())) >= set(sorted(zip(range(1, 400), clipped), key=lambda x: (-x[1], x[0]))[:20])
+
+
+def test_topk_of_repeated_ids_and_huge_components(spark):
+    """Of rows with a query's id, the smallest vector asks, in whatever order they come; huge components saturate."""
+    held = [(0, [0.5, 0.1]), (0, [-0.5, 0.2]), (1, [0.3, 0.3]), (2, [-0.3, 0.1]), (2, [-0.6, 0.1]), (3, [])]
+    for rows in (held, held[::-1]):
+        df = spark.createDataFrame([(i, v, 1, "x", "y", 1) for i, v in rows], VECTORS)
+        assert got(topk.top_inner_products(df)) == want(op4([(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()]))
+    df = spark.createDataFrame([(i, [v, 1.0], 1, "x", "y", 1) for i, v in [(0, 3e38), (1, 3e38), (2, -3e38), (3, 0.0)]], VECTORS)
+    found = topk.top_inner_products(df).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, (1 << 63) - 1), (3, 64 * 64), (2, -(1 << 63))]
 
 
 LINES = [

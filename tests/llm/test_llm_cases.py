@@ -495,6 +495,60 @@ def test_languages(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_grams(text, sizes):
+    """Byte n-grams of the lower-cased letters, one by one."""
+    raw = [32, *(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()), 32]
+    for n in sizes:
+        for i in range(len(raw) - n + 1):
+            code = 0
+            for b in raw[i : i + n]:
+                code = (code * 257 + b) % (1 << 32)
+            yield n, tuple(raw[i : i + n]), code
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_language_features(text):
+    raw = language_id.letters(text)
+    counts = np.zeros(language_id.WIDTH)
+    for n, _, code in plain_grams(text, (2, 3, 4)):
+        counts[(code + n) * 2654435761 % (1 << 32) >> 21] += 1
+    found = np.sqrt(counts)
+    assert language_id.features(raw) == pytest.approx(found / (np.linalg.norm(found) or 1), abs=1e-6)
+    assert language_id.trigrams(raw).tolist() == sorted({(c + 7) * 2654435761 % (1 << 32) >> 16 for _, g, c in plain_grams(text, (3,)) if set(g) != {32}})
+    assert sorted(language_id.shuffled(raw, 1)) == sorted(raw)
+
+
+def test_unlearned_languages(spark):
+    """Other scripts, other languages and shuffled letters are not recognised; clean documents and those of one repeated phrase are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    strange = [
+        "Tämä on suomenkielinen lause, jota malli ei ole koskaan nähnyt missään.", "To jest zdanie po polsku, którego model nigdy nie widział w swoich danych.",
+        "これは日本語の文章です。モデルはこれを見たことがありません。", "Это предложение на русском языке, которого модель не видела.", "zxq vbn wkjh qpzt mnvc xzlk jhgf qwrt pzxv bnmk",
+    ]
+    assert not any(sure for _, _, sure in model.predict(strange))
+    held = [r["text"] for r in docs.where(language_id.held_out()).collect()]
+    letters = [t for t in held if t and any(c.isalpha() for c in t)]
+    found = model.predict(letters)
+    assert sum(not sure for _, _, sure in found) <= 0.002 * len(found)
+    shuffled = ["".join(random.Random(i).sample(t, len(t))) for i, t in enumerate(letters) if len(t) > 200]
+    assert sum(sure for _, _, sure in model.predict(shuffled)) <= 0.02 * len(shuffled)
+    phrases = [" ".join([t[:40]] * 50 + [t]) for t in letters if len(t) > 200]
+    assert all(sure for _, _, sure in model.predict(phrases))
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Neither null ids, nor one id for all rows, nor repeated rows, nor a label for each row, lead to more rows than asked for."""
+    sizes = []
+    monkeypatch.setattr(language_id, "train", lambda x, langs: sizes.append(len(langs)) or language_id.Model())
+    text = F.concat(F.lit("some words "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    rows = spark.range(4000).select("id", text.alias("text"))
+    for doc_id, words, lang in ((F.lit(None), F.col("text"), F.lit("en")), (F.lit(7), F.col("text"), F.lit("en")), (F.lit(7), F.lit("all alike"), F.lit("en")), (F.col("id"), F.col("text"), F.col("id").cast("string"))):
+        language_id.fit(rows.select(doc_id.cast("bigint").alias("doc_id"), words.alias("text"), lang.alias("lang")), 100, 20)
+    assert 0 < sizes[0] < 180 and 0 < sizes[1] < 180 and sizes[-1] <= 20 and all(n <= 1 for n in sizes[2:-1])
+
+
 def test_personal_data(odd, none):
     for r in pii.find_personal_data(odd).collect():
         spans = [s for s in r["spans"].split(",") if s]

@@ -2,11 +2,16 @@
 
 Texts become hashed counts of byte n-grams of their lower-cased letters. A
 family is chosen by one-versus-rest machines, a language by votes of the
-machines for each pair of languages of that family.
+machines for each pair of languages of that family. Machines always choose, so
+whether a text is in any learned language at all is told apart: by the share of
+its distinct trigrams that the labelled texts have, with a cut calibrated on
+labelled texts that the trigrams were not taken from, and on the same texts with
+their letters shuffled.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -19,11 +24,14 @@ from pyspark.sql import functions as F
 
 from ._common import numbered, pick, struct_udf, texts
 
-#: Hashed features of a text; training texts of each language at most.
-WIDTH, PER_LANGUAGE = 1 << 11, 600
+#: Hashed features of a text; training texts of each language, about; languages learned, the most frequent ones.
+WIDTH, PER_LANGUAGE, LANGUAGES = 1 << 11, 600, 256
 
-#: Documents scored below this are rejected by ``keep_known``. A tie in both steps, of families and of two languages, scores 0.25.
-REJECT_BELOW = 0.26
+#: Hashed trigrams; distinct ones of a text that are too few to tell that it is in no learned language.
+TRIGRAMS, TOO_FEW = 1 << 16, 16
+
+#: Where the cut lies, from the share that so many of the shuffled texts stay below, towards the least share of a labelled text.
+SHUFFLED, TOWARDS = 0.99, 0.25
 
 UNKNOWN = "und"
 
@@ -47,9 +55,14 @@ def family(lang: str) -> str:
     return FAMILY.get(lang.lower().replace("_", "-").split("-")[0], f"={lang}")
 
 
-def features(text: str) -> np.ndarray:
+def letters(text: str) -> np.ndarray:
+    """The bytes of the lower-cased text, all but letters and bytes beyond ASCII as spaces."""
+    return np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_CLEAR) + b" ", np.uint8)
+
+
+def features(raw: np.ndarray) -> np.ndarray:
     """Unit vector of the square roots of hashed n-gram counts, of 2 to 4 bytes, over the whole text."""
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_CLEAR) + b" ", np.uint8).astype(np.uint32)
+    raw = raw.astype(np.uint32)
     counts = np.zeros(WIDTH)
     for n in (2, 3, 4):
         if len(raw) >= n:
@@ -62,6 +75,24 @@ def features(text: str) -> np.ndarray:
     return (counts / (np.linalg.norm(counts) or 1.0)).astype(np.float32)
 
 
+def trigrams(raw: np.ndarray) -> np.ndarray:
+    """The distinct hashed trigrams, those of spaces alone left out. However often a phrase repeats, it counts once."""
+    raw = raw.astype(np.uint32)
+    code = (raw[:-2] * np.uint32(257) + raw[1:-1]) * np.uint32(257) + raw[2:]
+    code = code[(raw[:-2] != 32) | (raw[1:-1] != 32) | (raw[2:] != 32)]
+    there = np.zeros(TRIGRAMS, bool)
+    there[((code + np.uint32(7)) * np.uint32(2654435761)) >> np.uint32(16)] = True
+    return np.flatnonzero(there).astype(np.uint16)
+
+
+def shuffled(raw: np.ndarray, seed: int) -> np.ndarray:
+    """The same letters and spaces, the letters in random order: in no language, but with the frequencies of one."""
+    out = raw.copy()
+    at = np.flatnonzero(raw != 32)
+    out[at] = np.random.default_rng(seed).permutation(raw[at])
+    return out
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 100) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge, classes weighted alike), the bias last; y is +-1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -84,15 +115,24 @@ class Model:
     family_weights: np.ndarray = field(default_factory=lambda: np.zeros((0, WIDTH + 1)))
     languages: dict[str, list[str]] = field(default_factory=dict)
     pair_weights: dict[str, np.ndarray] = field(default_factory=dict)
+    known: np.ndarray = field(default_factory=lambda: np.zeros(TRIGRAMS, bool))
+    cut: float = 0.0
 
-    def predict(self, batch: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(batch)
+    def recognises(self, raw: np.ndarray) -> bool:
+        found = self.known[trigrams(raw)]
+        return len(found) < TOO_FEW or float(found.mean()) >= self.cut
+
+    def predict(self, batch: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text is in a learned language at all) of each text."""
+        out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, False)] * len(batch)
         known = [i for i, t in enumerate(batch) if t and _LETTER.search(t)]
         if not known or not self.families:
             return out
-        x = np.ones((len(known), WIDTH + 1), np.float32)
+        x, sound = np.ones((len(known), WIDTH + 1), np.float32), []
         for row, i in enumerate(known):
-            x[row, :-1] = features(batch[i])
+            raw = letters(batch[i])
+            x[row, :-1] = features(raw)
+            sound.append(self.recognises(raw))
         margins = x @ self.family_weights.T
         best = margins.argmax(axis=1)
         sure = np.ones(len(known))
@@ -114,7 +154,7 @@ class Model:
             alone = len(langs) == 1
             own = np.full(len(rows), 60.0) if alone else strength[np.arange(len(rows)), top] / (len(langs) - 1)
             for r, t, p in zip(rows, top, _sigmoid(4.0 * own)):
-                out[known[r]] = (langs[t], float(sure[r] * p))
+                out[known[r]] = (langs[t], float(sure[r] * p), sound[r])
         return out
 
 
@@ -146,29 +186,54 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from (doc_id, text, lang): of each language the ``per_language`` rows, about, of smallest id hash.
+def recognition(texts_of: list[np.ndarray], shuffled_of: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """(trigrams of all texts, cut). Each text, and each shuffled one, is held against the trigrams of the texts of the other half."""
+    halves = np.zeros((2, TRIGRAMS), bool)
+    for i, own in enumerate(texts_of):
+        halves[i % 2, own] = True
+    share = lambda found: np.sort([halves[1 - i % 2, own].mean() for i, own in enumerate(found) if len(own) >= TOO_FEW])
+    good, bad = share(texts_of), share(shuffled_of)
+    if len(good) < 2 or not len(bad):
+        return halves.any(axis=0), 0.0
+    low, high = float(good[0]), float(np.quantile(bad, SHUFFLED))
+    return halves.any(axis=0), min(low, high + TOWARDS * (low - high))
+
 
-    The bound is what the driver holds; languages with fewer rows give all of
-    theirs. Rows without a letter teach nothing.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """A model from (doc_id, text, lang): of each of the most frequent languages about ``per_language`` rows, of smallest hash.
+
+    Their product bounds what the driver holds; languages with fewer rows give
+    all of theirs. Rows are chosen by a hash of id, text and language, and rows
+    alike count once, so neither repeated ids nor null ids break the bound. Rows
+    without a letter teach nothing.
     """
     rows = pick(labelled, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, per_language / n)) + 1))
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not found:
+        return Model()
+    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
+    least = labelled.sparkSession.createDataFrame([(k, int((1 << 30) * v) + 1) for k, v in sorted(shares.items())], "known string, below bigint")
+    place = F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(1 << 30))
+    chosen = rows.join(F.broadcast(least), (F.col("lang") == F.col("known")) & (place < F.col("below"))).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [(lang.as_py(), features(t).astype(np.float16).tobytes()) for lang, t in zip(b.column("lang"), texts(b.column("text"))) if t and _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.binary())], ["lang", "x"])
-
-    sample = rows.where(chosen).select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+            held = []
+            for lang, t in zip(b.column("lang").to_pylist(), texts(b.column("text"))):
+                if t and _LETTER.search(t):
+                    raw = letters(t)
+                    held.append((lang, features(raw).astype(np.float16).tobytes(), trigrams(raw).tobytes(), trigrams(shuffled(raw, zlib.crc32(raw.tobytes()))).tobytes()))
+            columns = list(zip(*held)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["lang", "x", "own", "other"])
+
+    sample = chosen.mapInArrow(run, "lang string, x binary, own binary, other binary").distinct().toArrow()
+    sample = sample.sort_by([("lang", "ascending"), ("x", "ascending"), ("own", "ascending")])
     if not sample.num_rows:
         return Model()
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in sample.column("x")]).astype(np.float32)
-    return train(x, sample.column("lang").to_pylist())
+    model = train(x, sample.column("lang").to_pylist())
+    model.known, model.cut = recognition(*([np.frombuffer(v.as_py(), np.uint16) for v in sample.column(c)] for c in ("own", "other")))
+    return model
 
 
 def _predictor(docs: DataFrame, model: Model):
@@ -183,7 +248,7 @@ def _predictor(docs: DataFrame, model: Model):
                 held = []
         yield from shared.value.predict(held)
 
-    return struct_udf({"lang": "string", "score": "double"}, rows)
+    return struct_udf({"lang": "string", "score": "double", "recognised": "boolean"}, rows)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -192,24 +257,25 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row's whole text.
+    """(doc_id, held_out, lang_pred, score, recognised) of each row's whole text.
 
     Without a model, one is fitted to the rows with a language that are not held
     out. ``und`` with score 0: the text is null or has no letter, or no language
-    could be learned. A null id is not held out. Repeated rows each give a row;
-    an empty table gives none; other columns are ignored.
+    could be learned. ``recognised`` is false for these, and for texts too few
+    of whose trigrams the labelled texts have; very short ones are. A null id is not held out.
+    Repeated rows each give a row; an empty table gives none; other columns are
+    ignored.
     """
     if model is None:
         rows = pick(docs, "doc_id", "text", "lang")
         model = fit(rows.where(~held_out()))
     found = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), _predictor(docs, model)("text").alias("p"))
-    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.recognised")
 
 
-def keep_known(docs: DataFrame, model: Model | None = None, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The documents whose language is recognised with a score of at least ``reject_below``, columns as they are."""
+def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents in a language that is recognised, columns as they are."""
     if model is None:
         model = fit(pick(docs, "doc_id", "text", "lang").where(~held_out()))
     frame, col, back = numbered(docs)
-    scored = frame.withColumn("p", _predictor(docs, model)(col("text")))
-    return back(scored.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= reject_below)))
+    return back(frame.where(_predictor(docs, model)(col("text"))["recognised"]))

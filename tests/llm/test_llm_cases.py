@@ -384,8 +384,51 @@ def test_forest_finds_outliers():
     x = np.vstack([rng.normal(0, 0.1, (2000, 4)), rng.normal(3, 0.1, (40, 4))])
     score = quality_forest.grow(x).scores(x)
     assert score[2000:].min() > np.quantile(score[:2000], 0.99)
-    assert quality_forest.best_cut(np.array([0.1, 0.2, 0.3]), np.array([0.5, 0.6])) == pytest.approx(0.4)
-    assert quality_forest.best_cut(np.array([0.1]), np.array([])) == math.inf
+    bins = lambda *held: np.bincount([round(10 * h) for h in held], minlength=10)
+    assert quality_forest.best_cut(bins(0.5, 0.6), bins(0.1, 0.2, 0.3)) == pytest.approx(0.45)
+    assert quality_forest.best_cut(bins(), bins(0.1)) == quality_forest.best_cut(bins(0.1), bins()) == math.inf
+
+
+def plain_path(forest, tree, x):
+    node = 0
+    while forest.feature[tree, node] >= 0:
+        node = 2 * node + (2 if x[forest.feature[tree, node]] >= forest.split[tree, node] else 1)
+    return forest.path[tree, node]
+
+
+def test_verdicts_are_those_of_a_plain_forest(spark):
+    """Scores tree by tree, cuts from all labelled rows though the trees grow on a few of them, and the verdicts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality_forest.described(docs).cache()
+    forest = quality_forest.fit(found, labels, 100)
+    good = {r["doc_id"]: int(r["quality"] == 1) for r in labels.collect()}
+    rows = {r["doc_id"]: r for r in found.collect()}
+    score = {i: 2 ** (-np.mean([plain_path(forest, t, rows[i]["x"]) for t in range(quality_forest.TREES)]) / forest.norm) for i in good}
+    place = lambda n: sum(n > b for b in quality_forest.BANDS)
+    bins = np.zeros((4, 2, quality_forest.BINS))
+    for i, g in good.items():
+        if not rows[i]["base_failed"]:
+            bins[place(rows[i]["n_words"]), g, int(score[i] * quality_forest.BINS)] += 1
+    for k in range(4):
+        held = bins[k] if bins[k].sum(axis=1).min() >= quality_forest.BAND_ROWS else bins.sum(axis=0)
+        assert forest.cuts[k] == pytest.approx(quality_forest.best_cut(*held), abs=2 / quality_forest.BINS)
+    judged = {r["doc_id"]: r for r in quality_forest.judge(docs, labels, forest).collect()}
+    assert len(judged) == len(rows)
+    for i in good:
+        assert judged[i]["score"] == pytest.approx(score[i], rel=1e-9)
+        assert judged[i]["kept"] == (not rows[i]["base_failed"] and judged[i]["score"] <= forest.cuts[place(rows[i]["n_words"])])
+
+
+def test_forest_sample_is_bounded(spark, monkeypatch):
+    """One id for all rows, or rows all alike, bring no more rows to the driver than asked for."""
+    sizes, grow = [], quality_forest.grow
+    monkeypatch.setattr(quality_forest, "grow", lambda x: sizes.append(len(x)) or grow(x, trees=5))
+    text = F.concat(F.repeat(F.lit("word "), (F.col("id") % 700).cast("int")), F.col("id").cast("string"))
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0)], LABELS)
+    for words in (text, F.lit("all alike")):
+        docs = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), words.alias("text"))
+        quality_forest.fit(quality_forest.described(docs), labels, 100)
+    assert 40 < sizes[0] < 180 and sizes[1] <= 1
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score string, v string, r int"

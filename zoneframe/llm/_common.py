@@ -16,6 +16,7 @@ ARROW = {
     "boolean": pa.bool_(),
     "string": pa.string(),
     "binary": pa.binary(),
+    "array<double>": pa.list_(pa.float64()),
 }
 
 

@@ -1,9 +1,9 @@
 """Quality by an isolation forest over rule statistics.
 
-Every document gets rule statistics of its whole text. Trees of random splits
-are grown on a bounded sample of labelled rows; a document that few splits
+Every document gets rule statistics of its whole text, once. Trees of random
+splits are grown on a bounded sample of labelled rows; a document that few splits
 isolate is an anomaly. For each band of lengths, the cut is calibrated from the
-scores of that sample's good and bad rows.
+scores of all good and all bad rows.
 """
 
 from __future__ import annotations
@@ -13,16 +13,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, struct_udf, texts
+from ._common import array_udf, cut, pick, struct_udf
 
 #: Trees, rows that each is grown on, labelled rows that the driver holds at most (about).
 TREES, ROWS_PER_TREE, SAMPLE = 200, 256, 20_000
 
-#: How many shares of lost good rows weigh as much as one of missed bad rows; rows of either kind a band needs for a cut of its own.
-LOSS_WEIGHT, BAND_ROWS = 4.0, 10
+#: How many shares of lost good rows weigh as much as one of missed bad rows; rows of either kind a band needs for a cut of its own; bins of scores.
+LOSS_WEIGHT, BAND_ROWS, BINS = 4.0, 10, 1 << 13
 
 #: Words up to which a band reaches.
 BANDS = (50, 200, 1000)
@@ -94,8 +94,9 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat_words > MOST_REPEATED * n_words
 
 
-def band(n_words: np.ndarray) -> np.ndarray:
-    return np.searchsorted(BANDS, n_words)
+def band(n_words: Column) -> Column:
+    """0 to len(BANDS)."""
+    return sum(((n_words > b).cast("int") for b in BANDS), F.lit(0))
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -135,9 +136,6 @@ class Forest:
     def depth(self) -> int:
         return (self.feature.shape[1] + 1).bit_length() - 2
 
-    def accepts(self, x: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        return self.scores(x) <= self.cuts[band(n_words)]
-
 
 def grow(x: np.ndarray, seed: int = 5, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE) -> Forest:
     rng = np.random.default_rng(seed)
@@ -162,63 +160,74 @@ def grow(x: np.ndarray, seed: int = 5, trees: int = TREES, rows_per_tree: int =
     return Forest(feature, split, path, float(_average_path(np.array(max(2, size)))))
 
 
-def calibrate(forest: Forest, x: np.ndarray, n_words: np.ndarray, good: np.ndarray, bad: np.ndarray) -> Forest:
-    """For each band, the cut with the least weighted sum of lost good and missed bad rows; all rows serve a band with few of its own."""
-    scores, bands = forest.scores(x), band(n_words)
-    for k in range(len(BANDS) + 1):
-        own = bands == k
-        if min((good & own).sum(), (bad & own).sum()) < BAND_ROWS:
-            own = np.ones(len(x), bool)
-        forest.cuts[k] = best_cut(scores[good & own], scores[bad & own])
+def calibrate(forest: Forest, bins: np.ndarray) -> Forest:
+    """For each band, the cut with the least weighted sum of lost good and missed bad rows; all rows serve a band with few of its own.
+
+    ``bins[band, good, bin]``: labelled rows by score.
+    """
+    for k, own in enumerate(bins):
+        forest.cuts[k] = best_cut(*(own if own.sum(axis=1).min() >= BAND_ROWS else bins.sum(axis=0)))
     return forest
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """Halfway between the best candidate and the next score; without bad rows, nothing is rejected."""
-    if not len(bad) or not len(good):
+def best_cut(bad: np.ndarray, good: np.ndarray) -> float:
+    """Halfway from the best bin to the next one with rows; without bad or good rows, nothing is rejected."""
+    if not bad.sum() or not good.sum():
         return float("inf")
-    at = np.unique(np.concatenate([good, bad]))
-    lost = 1.0 - np.searchsorted(np.sort(good), at, "right") / len(good)
-    missed = np.searchsorted(np.sort(bad), at, "right") / len(bad)
+    lost, missed = 1.0 - np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
     k = int(np.argmin(missed + LOSS_WEIGHT * lost))
-    return float((at[k] + at[min(k + 1, len(at) - 1)]) / 2)
+    beyond = np.flatnonzero((good + bad)[k + 1 :])
+    return (2 * k + 2 + (beyond[0] if len(beyond) else 0)) / (2 * len(bad))
+
+
+_NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x) of each row's whole text; x: the forest's features."""
+
+    def rows(batch: Iterable[str | None]) -> Iterator[tuple]:
+        for text in batch:
+            numbers, x = statistics(text)
+            yield *numbers, base_failed(numbers[0], numbers[4]), x
+
+    found = struct_udf({k: "bigint" for k in _NUMBERS} | {"base_failed": "boolean", "x": "array<double>"}, rows)
+    return pick(docs, "doc_id", "text").select("doc_id", found("text").alias("q")).select("doc_id", F.col("q.*"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """A forest from about ``sample`` labelled documents, those of smallest id hash; None without labelled rows.
+def _score(spark: SparkSession, forest: Forest):
+    shared = spark.sparkContext.broadcast(forest)
 
-    The bound is what the driver holds and what is broadcast; it doesn't depend on the data.
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)))
+
+    return array_udf("double", run)
+
+
+def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
+    """A forest from the ``described`` rows that ``labels`` (doc_id, quality) has; None if it has none.
+
+    Trees grow on about ``sample`` of these rows, of smallest hash of all that
+    they hold, rows alike once: neither repeated ids nor repeated rows break that
+    bound of what the driver holds. The cuts are calibrated on all of them, by
+    counts of binned scores. Rows without id or quality take no part; of several
+    qualities for an id the least counts.
     """
     known = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = known.count()
+    known = known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    rows = cut(found.join(known.hint("rebalance"), "doc_id").select("doc_id", "n_words", "base_failed", "x", "good"))
+    n = rows.count()
     if not n:
         return None
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    chosen = known.where(place < int((1 << 30) * min(1.0, sample / n)) + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [statistics(t) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    b.column("quality"),
-                    pa.array([s[0] for s, _ in found], pa.int64()),
-                    pa.array([base_failed(s[0], s[4]) for s, _ in found], pa.bool_()),
-                    pa.array([r for _, r in found], pa.list_(pa.float64())),
-                ],
-                ["doc_id", "quality", "n_words", "failed", "x"],
-            )
-
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    held = rows.mapInArrow(run, "doc_id bigint, quality int, n_words bigint, failed boolean, x array<double>").toArrow().sort_by("doc_id")
-    if not held.num_rows:
-        return None
-    x = np.array(held.column("x").to_pylist())
-    words, failed = held.column("n_words").to_numpy(), held.column("failed").to_numpy()
-    good = held.column("quality").to_numpy() == 1
-    return calibrate(grow(x), x, words, good & ~failed, ~good & ~failed)
+    place = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.lit(1 << 30))
+    held = rows.where(place < int((1 << 30) * min(1.0, sample / n)) + 1).select("doc_id", "x").distinct().toArrow()
+    forest = grow(np.array([x for _, x in sorted(zip(held.column("doc_id").to_pylist(), held.column("x").to_pylist()))]))
+    at = F.least(F.floor(_score(found.sparkSession, forest)("x") * BINS), F.lit(BINS - 1))
+    counted = rows.where(~F.col("base_failed")).groupBy(band(F.col("n_words")).alias("band"), F.col("good").cast("int").alias("good"), at.alias("at"))
+    bins = np.zeros((len(BANDS) + 1, 2, BINS))
+    for r in counted.count().collect():
+        bins[r["band"], r["good"], r["at"]] = r["count"]
+    return calibrate(forest, bins)
 
 
 def judge(docs: DataFrame, labels: DataFrame, forest: Forest | None = None) -> DataFrame:
@@ -229,30 +238,13 @@ def judge(docs: DataFrame, labels: DataFrame, forest: Forest | None = None) -> D
     alone decide (score 0). A null text has no words. Repeated rows each give a
     row; an empty table gives none; other columns are ignored.
     """
+    found = described(docs)
     if forest is None:
-        forest = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-
-    def rows(batch: Iterable[str | None]) -> Iterator[tuple]:
-        held: list = []
-
-        def scored() -> Iterator[tuple]:
-            n = np.array([s[0] for s, _ in held])
-            x = np.array([r for _, r in held])
-            score = shared.value.scores(x) if shared.value else np.zeros(len(held))
-            good = score <= shared.value.cuts[band(n)] if shared.value else np.ones(len(held), bool)
-            for (s, _), g, v in zip(held, good, score):
-                failed = base_failed(s[0], s[4])
-                yield *s, failed, bool(g) and not failed, float(v)
-
-        for text in batch:
-            held.append(statistics(text))
-            if len(held) == 1024:
-                yield from scored()
-                held = []
-        if held:
-            yield from scored()
-
-    names = {k: "bigint" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    found = struct_udf(names | {"base_failed": "boolean", "kept": "boolean", "score": "double"}, rows)
-    return pick(docs, "doc_id", "text").select("doc_id", found("text").alias("q")).select("doc_id", F.col("q.*"))
+        found = cut(found)
+        forest = fit(found, labels)
+    score = _score(docs.sparkSession, forest)("x") if forest else F.lit(0.0)
+    found = found.withColumn("score", score)
+    cuts = F.lit(float("inf"))
+    for k, most in enumerate(forest.cuts if forest else ()):
+        cuts = F.when(band(F.col("n_words")) == k, F.lit(float(most))).otherwise(cuts)
+    return found.select("doc_id", *_NUMBERS, "base_failed", (~F.col("base_failed") & (F.col("score") <= cuts)).alias("kept"), "score")

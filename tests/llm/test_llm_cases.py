@@ -611,6 +611,17 @@ def test_base_spans_of_any_text(text):
     assert [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind in pii.BASE] == op7_base(text)
 
 
+def test_scores_and_context(spark):
+    """Context words raise a score and order numbers lower it; a base span stays whatever its score."""
+    one = lambda t: [(s.kind, round(s.score, 2)) for s in pii.find(t)]
+    assert one("x 4539 1488 0343 6467") == [("card", 0.8)] and one("my visa card: 4539 1488 0343 6467") == [("card", 1.0)]
+    assert one("call 555-010-9999") == [("tel", 0.6)] and one("555-010-9999") == [] and one("order 555-010-9999, call us") == []
+    assert one("reach 10.0.0.1") == [("ip", 0.6)] and one("server 10.0.0.1") == [("ip", 0.9)]
+    df = spark.createDataFrame([(1, "mail a@b.de, card 378282246310005 and 10.0.0.1"), (2, None)], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.find_personal_data(df).collect()}
+    assert found == {1: ("email:5:11,ip:38:46,pan:18:33", "1.00,0.60,0.60"), 2: ("", "")}
+
+
 def test_further_spans():
     kinds = lambda t: [s.kind for s in pii.find(t)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00 please") == ["iban"]

@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Four base kinds (email, ip, card, phone) are always reported. The other kinds
-need a score of at least ``ACCEPT``, which a checksum or a context word gives.
+need a score of at least ``ACCEPT``, which a checksum or a context word gives
+and other words, like those of order numbers, take away.
 Every expression reads a text in time proportional to its length.
 """
 
@@ -59,6 +60,9 @@ _CONTEXT = {
     "secret": re.compile(r"key|secret|token|password|login", re.IGNORECASE),
 }
 _CONTEXT["pan"], _CONTEXT["tel"] = _CONTEXT["card"], _CONTEXT["phone"]
+# Words that speak against a number of a kind with a weak validator.
+_AGAINST = re.compile(r"\border\b|invoice|serial|\bpart\b|version|\bisbn\b|tracking|\bsku\b", re.IGNORECASE)
+_WEAK = ("ssn", "pan", "tel")
 
 #: Score of a span that its validator has confirmed, before context; of the shapes above, which need none.
 _SHAPED = 0.6
@@ -166,7 +170,8 @@ def _more(text: str) -> Iterator[tuple]:
 
 def _scored(text: str, kind: str, start: int, end: int, score: float | None = None) -> Span:
     near = text[max(0, start - NEARBY) : start] + " " + text[end : end + NEARBY]
-    return Span(kind, start, end, min(1.0, (score or _SCORE[kind]) + (0.3 if _CONTEXT[kind].search(near) else 0.0)))
+    held = (score or _SCORE[kind]) + (0.3 if _CONTEXT[kind].search(near) else 0.0) - (0.2 if kind in _WEAK and _AGAINST.search(near) else 0.0)
+    return Span(kind, start, end, min(1.0, held))
 
 
 def find(text: str) -> list[Span]:
@@ -203,9 +208,10 @@ def shown(spans: Iterable[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row's whole text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) of each row's whole text.
 
-    The counts and the digest are of the base kinds, ``spans`` of all kinds. A
+    The counts and the digest are of the base kinds, ``spans`` of all kinds,
+    ``scores`` their scores in the same order, with two decimals. A
     null text has no spans. Repeated rows each give a row; an empty table gives
     none; other columns are ignored. ``mask_documents`` replaces the spans.
     """
@@ -215,9 +221,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             spans = find(text or "")
             base = [s for s in spans if s.kind in BASE]
             counts = [sum(s.kind == k for s in base) for k in BASE]
-            yield *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)
+            yield *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), ",".join(f"{s.score:.2f}" for s in spans)
 
-    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string"}
+    fields = {f"n_{k}": "bigint" for k in BASE} | {"base_sha256": "string", "spans": "string", "scores": "string"}
     found = struct_udf(fields, rows)("text").alias("d")
     return pick(docs, "doc_id", "text").select("doc_id", found).select("doc_id", F.col("d.*"))
 

@@ -19,12 +19,13 @@ from ..types import Kind, StoreSchema
 NONE, UNKNOWN, ALL = -1, 0, 1
 
 
-def zone_map(df: DataFrame, group: Column, columns: Iterable[int | str] | None = None, name: str = "zone") -> DataFrame:
+def zone_map(df: DataFrame, group: Column, columns: Iterable[int | str] | None = None, name: str = "zone", schema: StoreSchema | None = None) -> DataFrame:
     """(zone, n, and for each column <i>_nulls, <i>_min, <i>_max, <i>_nan): one shuffle of partial aggregates.
 
     Bounds are over unit values for NULL and leave NaN out; of strings, over byte lengths.
+    ``schema``: the columns, if the frame has others too.
     """
-    schema = StoreSchema.of(df.schema)
+    schema = schema or StoreSchema.of(df.schema)
     places = range(len(schema.columns)) if columns is None else sorted({schema.place(c) for c in columns})
     parts = [F.count(F.lit(1)).alias("n")]
     for i in places:

@@ -177,6 +177,10 @@ def validate(p: Predicate, schema: StoreSchema) -> Predicate:
     return p
 
 
+def has_custom(p: Predicate) -> bool:
+    return isinstance(p, Custom) or (isinstance(p, Group) and any(map(has_custom, p.operands)))
+
+
 _COST = {Kind.BIT: 1, Kind.I32: 8, Kind.FLT: 8, Kind.I64: 16, Kind.DBL: 16, Kind.STR: 128}
 
 

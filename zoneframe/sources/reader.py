@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import string_bytes, unit_view
 from ..operators.counts import parallel_query
+from ..operators.zones import ALL, NONE, zone_map, zone_match
 from ..plans.compile import compile_predicate
-from ..plans.predicate import Predicate, validate
+from ..plans.predicate import Predicate, has_custom, validate
 from ..types import Codec, Kind, StoreColumn, StoreSchema
+from . import files
+from .cursor import Cursor
 
-#: Rows of a row group where a writer asks for nothing else.
-ROW_GROUP = 100_000
+#: Rows of a row group where a writer asks for nothing else; the folder, under a table's path, of its zone map.
+ROW_GROUP, ZONES = 100_000, "_zones"
 
 _FILE, _ROW = "zf_file", "zf_row"
 
@@ -66,6 +69,10 @@ class Reader:
 
     __iter__ = rows
 
+    def cursor(self) -> Cursor:
+        """A position among the matching rows, in file order, with typed getters."""
+        return Cursor(self.schema, self.rows)
+
     def rewind(self) -> Reader:
         """For callers that expect one: a reader keeps no position, each iteration starts at the first row."""
         return self
@@ -162,6 +169,46 @@ class Reader:
         """(zf_file, zf_group, n): matching rows of each row group that has any."""
         return self.grouped().groupBy(_FILE, "zf_group").agg(F.count(F.lit(1)).alias("n"))
 
+    # Zones: what is known of each row group without its rows.
+
+    def _located(self, scan: DataFrame) -> DataFrame:
+        group = F.floor(F.col("_metadata.row_index") / self.row_group_size).cast("bigint")
+        return scan.select("*", F.struct(F.col("_metadata.file_name").alias("file"), group.alias("group")).alias("zf_zone"))
+
+    def zone_map(self) -> DataFrame:
+        """(file, group, n, and for each column <i>_nulls, <i>_min, <i>_max, <i>_nan) of all rows, from a scan."""
+        found = zone_map(self._located(self._scan), F.col("zf_zone"), schema=self.schema)
+        return found.select("zone.file", "zone.group", *(f"`{c}`" for c in found.columns if c != "zone"))
+
+    def zones(self) -> DataFrame | None:
+        """The stored zone map; None if the table has none."""
+        path = files.inside(self.path, ZONES)
+        return self.spark.read.parquet(path) if files.exists(self.spark, path) else None
+
+    def pruned(self) -> DataFrame:
+        """The matching rows, by the stored zone map: files without a zone that can match are not read.
+
+        A plain predicate goes on to the scan of the other files, which skips
+        row groups by their own statistics. With a custom test, rows of zones
+        told to match nothing are left out, and those of zones told to match
+        wholly pass untested. Without a stored map, an ordinary scan. Only the
+        names of files reach the driver, which lists them anyway.
+        """
+        zones = self.zones()
+        if self.predicate is None or zones is None:
+            return self.frame
+        told = zones.select("file", "group", zone_match(self.predicate, self.schema).alias("zf_match")).where(F.col("zf_match") != NONE)
+        names = sorted(r["file"] for r in told.select("file").distinct().collect())
+        if not names:
+            return self._scan.where(F.lit(False))
+        scan = self.spark.read.schema(self._scan.schema).parquet(*(files.inside(self.path, n) for n in names))
+        if not has_custom(self.predicate):
+            return self._matching(scan)
+        zone = F.struct("file", "group")
+        joined = self._located(scan).join(told.select(zone.alias("zf_told"), "zf_match"), F.col("zf_zone") == F.col("zf_told"))
+        test = compile_predicate(self.predicate, self.schema, lambda n: F.col(f"`{n}`"), self.nulls)
+        return joined.where((F.col("zf_match") == ALL) | F.coalesce(test, F.lit(False))).select(*(f"`{c.name}`" for c in self.schema.columns))
+
 
 def open_table(spark: SparkSession, path: str, row_group_size: int = ROW_GROUP) -> Reader:
     return Reader(spark, path, None, row_group_size)

@@ -6,13 +6,13 @@ as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from zoneframe.llm import language_id, line_dedup, packing, pii, simhash
+from zoneframe.sources import files
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,24 +52,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Through Hadoop's file systems, as the path may be in a store that only Spark reaches."""
-    held = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; what lies between stages is written to the shared checkpoint folder.
 
     A stage's rows are deleted once the next stage's are written; the last one's stay for the reader.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    last, folder = "", f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    last, folder = "", f"{files.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if k:
-            delete(spark, last)
+            files.delete(spark, last)
         docs, last = spark.read.parquet(path), path
     return docs

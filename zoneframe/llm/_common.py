@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -101,12 +102,12 @@ def array_udf(ddl: str, run: Callable[[pa.Array], pa.Array]):
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A temporary folder serves only where the session names none (tests). Spark
+    A temporary folder serves only in local mode where the session names none. Spark
     removes the files itself once nothing refers to them, if
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

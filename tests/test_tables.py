@@ -173,6 +173,7 @@ def test_tools(spark, tmp_path):
     text = tools.head_text(open_table(spark, one)).split("\n")
     assert len(text) == 21 and text[0].startswith("column 0\tcolumn 1") and text[1] == "0\t0\t1\t(null)\t0.000000\t0.000000"
     assert [r["value"] for r in tools.dump(open_table(spark, two), 3).collect()] == ["(null)"]
+    assert list(tools.dumped(open_matching(spark, one, p.i32_lt(0, 4)), 3)) == ["(null)", "zf 1", "zf 2", "zf 3"]
     with Writer(spark, str(tmp_path / "three"), [StoreColumn("a", Kind.I32)]) as w:
         w.put((1,))
     with pytest.raises(ValueError):
@@ -332,6 +333,16 @@ def test_writer_holds_little(spark, tmp_path, monkeypatch):
     assert [x.name for x in tmp_path.iterdir()] == ["t"]
 
 
+def test_rows_of_many_files(spark, tmp_path):
+    """Files in order of their names, however they are named, each in its own order."""
+    path = str(tmp_path / "a b%é")
+    write_frame(spark.range(300).repartitionByRange(5, "id").sortWithinPartitions(F.desc("id")), path, row_group_size=20)
+    reader = open_matching(spark, path, p.i64_gt(0, 10))
+    want = [r["id"] for r in reader.ordered().collect()]
+    assert [r["id"] for r in reader.rows()] == want and sorted(want) == list(range(11, 300)) and want[:3] == sorted(want[:3], reverse=True)
+    assert reader.pruned().count() == 289
+
+
 def test_cursor(spark, tmp_path):
     path = str(tmp_path / "t")
     hundred(spark, path, Codec.NONE)

@@ -30,8 +30,8 @@ def main(args: list[str] | None = None) -> None:
     elif given.todo == "head":
         print(tools.head_text(Reader(spark, given.path)))
     elif given.todo == "dump":
-        for r in tools.dump(Reader(spark, given.path), given.column).toLocalIterator():
-            print(r["value"])
+        for value in tools.dumped(Reader(spark, given.path), given.column):
+            print(value)
     else:
         tools.cat(spark, given.inputs, given.output, given.row_group_size)
 

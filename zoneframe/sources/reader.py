@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -59,13 +60,20 @@ class Reader:
         return self._matching(scan)
 
     def ordered(self) -> DataFrame:
-        """The matching rows in file order (a range sort: for previews and row-by-row readers)."""
+        """The matching rows in file order (a range sort of the table: for previews; ``rows`` goes file by file)."""
         names = [f"`{c.name}`" for c in self.schema.columns]
         return self.placed().orderBy(_FILE, _ROW).select(*names)
 
-    def rows(self) -> Iterator[Row]:
-        """Row by row in file order; one partition at a time reaches the driver."""
-        return self.ordered().toLocalIterator()
+    def rows(self, shown: Callable[[DataFrame], DataFrame] = lambda df: df) -> Iterator[Row]:
+        """Row by row in file order: file after file, each sorted by its own rows alone, one partition at a time on the driver.
+
+        ``shown``: what to select of the rows, without changing their order.
+        """
+        names = [f"`{c.name}`" for c in self.schema.columns]
+        for name in sorted(self._scan.inputFiles()):
+            scan = self.spark.read.schema(self._scan.schema).parquet(unquote(name))
+            held = self._matching(scan.select("*", F.col("_metadata.row_index").alias(_ROW)))
+            yield from shown(held.orderBy(_ROW).select(*names)).toLocalIterator()
 
     __iter__ = rows
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +58,13 @@ def dump(reader: Reader, column: int | str) -> DataFrame:
     return reader.ordered().select(rendered(F.col(f"`{held.name}`"), held.kind).alias("value"))
 
 
+def dumped(reader: Reader, column: int | str) -> Iterator[str]:
+    """The same texts one by one, file after file, without a sort of the whole table."""
+    held = reader.schema[column]
+    for row in reader.rows(lambda df: df.select(rendered(F.col(f"`{held.name}`"), held.kind).alias("value"))):
+        yield row["value"]
+
+
 def rendered_rows(df: DataFrame) -> DataFrame:
     """Every column as text."""
     schema = StoreSchema.of(df.schema)

@@ -554,6 +554,8 @@ def misuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Writer(spark, path, [StoreColumn("a", Kind.I32), StoreColumn("b", Kind.STR)]) as w:
         w.put((1, "x"))
     reader, at, whole = open_table(spark, path), open_table(spark, path).cursor(), StoreSchema.build([StoreColumn("a", Kind.I32), StoreColumn("b", Kind.STR), StoreColumn("c", Kind.BIT)])
+    text = scratch(spark)
+    spark.createDataFrame([("no table",)], "value string").write.text(text)
     halves = Writer(spark, scratch(spark), [StoreColumn("a", Kind.I32), StoreColumn("b", Kind.I32)])
     halves.put_i32(1, 5)
 
@@ -571,6 +573,7 @@ def misuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cursor at a row": lambda: at.next() and at.get_i32(0),
         "cursor of another type": lambda: at.get_str(0),
         "open what is not there": lambda: open_table(spark, path + "-none"),
+        "open what is no table": lambda: open_table(spark, text),
         "open with a fitting predicate": lambda: open_matching(spark, path, p.i32_eq("a", 1) & p.true()),
         "open with a predicate of another type": lambda: open_matching(spark, path, p.i64_eq("a", 1)),
         "open with a predicate beyond the columns": lambda: open_matching(spark, customer, p.is_null(20)),
@@ -604,6 +607,7 @@ MISUSE = {
     "cursor at a row": "ok",
     "cursor of another type": "TypeError",
     "open what is not there": "Error",
+    "open what is no table": "Error",
     "open with a fitting predicate": "ok",
     "open with a predicate of another type": "PredicateError",
     "open with a predicate beyond the columns": "PredicateError",

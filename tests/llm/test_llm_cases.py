@@ -1,5 +1,6 @@
 """Odd rows, empty tables and clashing columns, operator by operator, and the parts on their own."""
 
+import hashlib
 import math
 import random
 
@@ -691,52 +692,52 @@ def test_url_models_learn_from_labels(spark):
 
 
 def test_url_models_generalise_the_rules(spark):
-    """Decided URLs, scored by models that have not seen them: precision and recall of what the rules reject."""
+    """URLs scored by models of the other half: recall of what the rules block, and what of the rest is left alone."""
     rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
     rule, verdict = url_lm.rule_for(url_lm.host_of(F.col("url")), url_lm.path_of(F.col("url")))
-    urls = url_lm.learnable(rows.select(url_lm.shape(F.col("url")).alias("shaped"), (verdict == "block").alias("rejected")))
+    blocked = F.coalesce(verdict == "block", F.lit(False))
+    urls = url_lm.learnable(rows.select(url_lm.shape(F.col("url")).alias("shaped"), blocked.alias("rejected")))
     scores = url_lm.scored(urls)
     cut = url_lm.cut_of(scores)
-    held = [(r["rejected"] > 0, r["unseen"] > cut) for r in scores.where("accepted + rejected > 0").collect()]
-    both = sum(a and b for a, b in held)
-    assert sum(a for a, _ in held) > 500 and sum(not a for a, _ in held) >= 50
-    assert both >= 0.9 * sum(a for a, _ in held) and both >= 0.95 * sum(b for _, b in held)
-    assert sum(not a and not b for a, b in held) >= 0.9 * sum(not a for a, _ in held)
+    held = [(r["rejected"] > 0, r["score"] > cut) for r in scores.collect()]
+    refused = [b for a, b in held if a]
+    passed = [b for a, b in held if not a]
+    assert len(refused) > 500 and sum(refused) >= 0.95 * len(refused)
+    assert len(passed) > 1500 and sum(passed) <= 0.05 * len(passed)
 
 
-def plain_models(urls):
-    """Scores of (shaped bytes, accepted, rejected) by the recursion, over all counts."""
+def plain_scores(urls):
+    """Scores of (shaped bytes, accepted, rejected) by the recursion, each over the counts of the other half's URLs."""
+    half = {s: int(hashlib.md5(s).hexdigest()[-1] in "13579bdf") for s, *_ in urls}
     seen: dict = {}
     for s, *kinds in urls:
         full = b"\1" * url_lm.ORDER + s + b"\2"
         for i in range(url_lm.ORDER, len(full)):
             for k in range(url_lm.ORDER + 1):
                 for kind, n in enumerate(kinds):
-                    for what in ((kind, k, full[i - k : i]), (kind, k, full[i - k : i], full[i])):
+                    for what in ((half[s], kind, k, full[i - k : i]), (half[s], kind, k, full[i - k : i], full[i])):
                         seen[what] = seen.get(what, 0) + n
-    out = []
+    out = {}
     for s, *_ in urls:
         full, total = b"\1" * url_lm.ORDER + s + b"\2", 0.0
         for i in range(url_lm.ORDER, len(full)):
             for kind, sign in ((0, -1), (1, 1)):
                 p = 1 / 256
                 for k in range(url_lm.ORDER + 1):
-                    c = full[i - k : i]
-                    p = (seen[kind, k, c, full[i]] + url_lm.STRENGTH * p) / (seen[kind, k, c] + url_lm.STRENGTH)
+                    own = 1 - half[s], kind, k, full[i - k : i]
+                    p = (seen.get((*own, full[i]), 0) + url_lm.STRENGTH * p) / (seen.get(own, 0) + url_lm.STRENGTH)
                 total += sign * math.log(p)
-        out.append(total / (len(s) + 1))
+        out[s.decode()] = total / (len(s) + 1)
     return out
 
 
 def test_url_scores_are_those_of_the_recursion(spark):
-    rows = [("abab", None), ("", None), ("zz.x/y", True), ("zz.x/y", True), ("zz.x/é", False), ("abba.net/7", False), ("abba.net/8", True), ("ab", None)]
-    df = spark.createDataFrame(rows, "shaped string, rejected boolean")
-    urls = url_lm.learnable(df)
+    rows = [("abab", None), ("", None), ("zz.x/y", True), ("zz.x/y", True), ("zz.x/é", False), ("abba.net/7", False), ("abba.net/8", True), ("ab", None), ("net", True), ("x/8", False)]
+    urls = url_lm.learnable(spark.createDataFrame(rows, "shaped string, rejected boolean"))
     names = {r["uid"]: r["shaped"] for r in urls.collect()}
     found = {names[r["uid"]]: r["score"] for r in url_lm.scored(urls).collect()}
     plain = [(u.encode(), sum(r is False for v, r in rows if v == u), sum(r is True for v, r in rows if v == u)) for u in dict.fromkeys(u for u, _ in rows)]
-    for (u, _, _), want_score in zip(plain, plain_models(plain)):
-        assert found[u.decode()] == pytest.approx(want_score, rel=1e-9)
+    assert found == pytest.approx(plain_scores(plain), rel=1e-9)
 
 
 def test_packing(odd, none):

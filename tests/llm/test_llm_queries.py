@@ -87,7 +87,7 @@ def test_op10(spark, docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()

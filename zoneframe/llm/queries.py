@@ -45,7 +45,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_lm.filter_urls(table(spark, sf_dir, "pages"))
+    found = url_lm.filter_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")  # SQL adds up the scores in another order
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,55 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+def _op8_sql() -> str:
+    """The rules, the models of each order from the next shorter one, each half's scores by the other, and the calibrated cut."""
+    order, strength, bins, limit = url_lm.ORDER, url_lm.STRENGTH, url_lm.BINS, url_lm.LIMIT
+    after = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    fits = []
+    for action, text in sorted(url_lm.RULES, key=lambda r: -len(r[1])):
+        domain, _, rest = text.partition("/")
+        fits.append((f"WHEN (host = '{domain}' OR suffix(host, '.{domain}')) AND prefix(path, '/{rest}') THEN", text, action))
+    sums = lambda p="": ", ".join(f"sum({c}) AS {p}{c}" for c in ("a0", "a1", "r0", "r1"))
+    total = lambda k, v, p="": f"{p}{k}{1 - v}"  # noqa: E731  of the other half
+    names = [(k, v) for k in "ar" for v in (0, 1)]
+    parts = [
+        f"raw AS (SELECT page_id, url, {after} AS rest FROM pages)",
+        f"""held AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {lower}), '') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(translate(coalesce(rest, url), {lower}), '') AS shaped FROM raw)""",
+        f"""ruled AS (SELECT *, CASE {' '.join(f"{w} '{t}'" for w, t, _ in fits)} END AS rule, CASE {' '.join(f"{w} '{a}'" for w, _, a in fits)} END AS decided FROM held)""",
+        """urls AS (SELECT shaped, CASE WHEN contains('13579bdf', md5(shaped)[32]) THEN 1 ELSE 0 END AS half,
+            count(*) FILTER (decided IS DISTINCT FROM 'block') AS accepted, count(*) FILTER (decided = 'block') AS rejected FROM ruled GROUP BY shaped)""",
+        f"""places AS (SELECT shaped, half, accepted, rejected, substr(repeat(chr(1), {order}) || shaped || chr(2), i, {order + 1}) AS gram
+            FROM (SELECT *, unnest(range(1, length(shaped) + 2)) AS i FROM urls))""",
+        f"""g{order} AS (SELECT gram, {', '.join(f"sum(CASE WHEN half = {h} THEN {n} ELSE 0 END) AS {c}{h}" for c, n in (("a", "accepted"), ("r", "rejected")) for h in (0, 1))}
+            FROM places GROUP BY gram)""",
+        *(f"g{k} AS (SELECT substr(gram, 2) AS gram, {sums()} FROM g{k + 1} GROUP BY 1)" for k in range(order - 1, -1, -1)),
+        f"whole AS (SELECT {sums('n_')} FROM g0)",
+        "p0 AS (SELECT gram, " + ", ".join(f"({total(k, v)} + {strength} / 256) / ({total(k, v, 'n_')} + {strength}) AS {k}_u{v}" for k, v in names) + " FROM g0, whole)",
+    ]
+    for n in range(1, order + 1):
+        parts.append(f"c{n} AS (SELECT substr(gram, 1, {n}) AS gram, {sums('n_')} FROM g{n} GROUP BY 1)")
+        ps = ", ".join(f"({total(k, v)} + {strength} * {k}_u{v}) / ({total(k, v, 'n_')} + {strength}) AS {k}_u{v}" for k, v in names)
+        parts.append(f"p{n} AS (SELECT g.gram, {ps} FROM g{n} AS g JOIN c{n} AS c ON c.gram = substr(g.gram, 1, {n}) JOIN p{n - 1} AS p ON p.gram = substr(g.gram, 2))")
+    parts += [
+        f"""scores AS (SELECT shaped, accepted, rejected, avg(CASE WHEN half = 0 THEN ln(r_u0) - ln(a_u0) ELSE ln(r_u1) - ln(a_u1) END) AS score
+            FROM places JOIN p{order} USING (gram) GROUP BY shaped, accepted, rejected)""",
+        f"""binned AS (SELECT greatest(0, least({bins - 1}, floor((score + {limit}) / {2 * limit} * {bins}))) AS bin, sum(accepted) AS a, sum(rejected) AS r
+            FROM scores WHERE accepted + rejected > 0 GROUP BY 1)""",
+        f"""run AS (SELECT i, 1 - sum(coalesce(a, 0)) OVER (ORDER BY i) / (SELECT sum(a) FROM binned) + sum(coalesce(r, 0)) OVER (ORDER BY i) / (SELECT sum(r) FROM binned) AS wrong
+            FROM range({bins}) AS t(i) LEFT JOIN binned ON bin = i)""",
+        "best AS (SELECT i, i - row_number() OVER (ORDER BY i) AS stretch FROM run WHERE wrong <= (SELECT min(wrong) FROM run) + 1e-12)",
+        f"""cut AS (SELECT CASE WHEN (SELECT sum(a) FROM binned) > 0 AND (SELECT sum(r) FROM binned) > 0 THEN ((min(i) + max(i)) / 2 + 1) / {bins} * {2 * limit} - {limit} ELSE 1e300 END AS cut
+            FROM best WHERE stretch = (SELECT min(stretch) FROM best))""",
+    ]
+    return f"""WITH {', '.join(parts)}
+        SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score > (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM ruled JOIN scores USING (shaped)"""
+
+
 ORACLES = {
+    "op8_url_filter": _op8_sql(),
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

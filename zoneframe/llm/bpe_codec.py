@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -59,24 +60,35 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
+def _parts(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in order, in pieces of bounded size; True: a run of white space that the merges take alone."""
     if len(text) <= PIECE_CHARS:
-        return encoding.encode_ordinary(text)
-    ids: list[int] = []
+        yield text, False
+        return
     done = 0
     for run in re.finditer(f"{_SPACE}{{{SPACE_RUN},}}", text):
         # Before other text, its last character is not part of the match.
         end = run.end() - (run.end() < len(text))
-        for piece in pieces(text[done : run.start()]):
-            ids += encoding.encode_ordinary(piece)
+        yield from ((piece, False) for piece in pieces(text[done : run.start()]))
         if end > run.start():
-            ids += encoding._encode_single_piece(text[run.start() : end])
+            yield text[run.start() : end], True
         done = end
-    for piece in pieces(text[done:]):
-        ids += encoding.encode_ordinary(piece)
+    yield from ((piece, False) for piece in pieces(text[done:]))
+
+
+def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    ids: list[int] = []
+    for part, alone in _parts(text):
+        ids += encoding._encode_single_piece(part) if alone else encoding.encode_ordinary(part)
     return ids
 
 
+def encode_array(text: str, encoding: tiktoken.Encoding, end: int) -> np.ndarray:
+    """The same ids and then ``end``, as unsigned 32-bit numbers, without a list of them."""
+    found = [np.array(encoding._encode_single_piece(part), "<u4") if alone else encoding.encode_to_numpy(part, disallowed_special=()) for part, alone in _parts(text)]
+    return np.concatenate([*found, [end]], dtype="<u4", casting="unsafe")
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of each row's whole text; null and empty texts give an empty array.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._common import cut, pick, texts
-from .bpe_codec import encode as encode_text
+from .bpe_codec import encode_array
 
 #: Ids in a full sequence; the id that ends a document.
 SEQUENCE, END = 1024, 0
@@ -56,10 +56,11 @@ class Ids:
         self.fast = tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.library = Tokenizer.from_file(path)
 
-    def of(self, text: str) -> list[int]:
+    def of(self, text: str) -> np.ndarray:
+        """The ids of a text and its end id."""
         if any(a in text for a in self.added):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return encode_text(text, self.fast)
+            return np.array([*self.library.encode(text, add_special_tokens=False).ids, END], "<u4")
+        return encode_array(text, self.fast, END)
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +118,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(start, 1024)
                 counts, packed, vectors = [], [], []
                 for text in texts(part.column("text")):
-                    own = np.array([*ids.of(text or ""), END], "<u4")
+                    own = ids.of(text or "")
                     counts.append(len(own))
                     packed.append(compress(own))
                     vectors.append(_hashed(own))

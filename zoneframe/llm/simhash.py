@@ -498,7 +498,7 @@ def confirmed(docs: DataFrame, narrow: DataFrame, proposed: DataFrame, plan: Pla
     meets in some task, however large the group is.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "length")).alias("row")
-    grouped = narrow.join(proposed.select("node", "root").hint("rebalance"), "node").groupBy("node", "root").agg(first).select("node", "root", "row.*")
+    grouped = narrow.groupBy("node").agg(first).join(proposed.select("node", "root").hint("rebalance"), "node").select("node", "root", "row.*")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
     s = F.greatest(F.ceil(F.col("n") / TEXTS), F.ceil(F.col("length") / CHARACTERS), F.least(F.lit(8), F.ceil(F.col("n") / SPREAD)))
     sizes = sizes.select("root", F.least(s, F.col("n")).cast("int").alias("s"))

@@ -22,10 +22,5 @@ def parallel_query(df: DataFrame, visit: Callable[[Iterator[pa.RecordBatch]], It
 
 
 def parallel_count(df: DataFrame, name: str = "n") -> DataFrame:
-    """A count by partial counts of each partition."""
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64())], ["part"])
-
-    narrow = df.select(F.lit(True).alias("row"))
-    return parallel_query(narrow, visit, "part bigint").agg(F.coalesce(F.sum("part"), F.lit(0)).alias(name))
+    """A count of all partitions at once: Spark counts each and adds the counts up. ``parallel_query`` is for what only Python can express."""
+    return row_count(df, name)

@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -285,6 +285,19 @@ def parallel_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parallel_count(matching(lines(spark, sf_dir), p.dbl_gt("l_quantity", 30.0)))
 
 
+def parallel_queried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visitor of each partition's matching rows that keeps totals of its own; these are added up."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, keys = 0, 0
+        for b in batches:
+            n, keys = n + b.num_rows, keys + (pc.sum(b.column("c_custkey")).as_py() or 0)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([keys], pa.int64())], ["n", "keys"])
+
+    reader = open_matching(spark, _path(sf_dir, "customer"), p.dbl_gt("c_acctbal", 1000.0))
+    return reader.parallel_query(visit, "n bigint, keys bigint").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+
+
 def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each 300-row group of a file."""
     reader = Reader(spark, _path(sf_dir, "part"), None, 300)
@@ -667,6 +680,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "row_count_all": (row_count_all, "SELECT count(*) AS n FROM lineitem"),
     "row_count_matching": (row_count_matching, "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'A'"),
     "parallel_count": (parallel_counted, "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30"),
+    "parallel_query": (parallel_queried, "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_acctbal > 1000"),
     "row_groups": (row_groups, "SELECT g AS zf_group, count(*) AS n FROM (SELECT (row_number() OVER () - 1) // 300 AS g FROM part) AS t GROUP BY g"),
     "row_group": (row_group_two, "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER () - 1 AS r FROM part) AS t WHERE r // 300 = 2"),
     "zones_stored": (

@@ -74,6 +74,22 @@ def test_op8(spark):
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
+def test_op8_rules_are_those_of_the_contract(spark, tmp_path):
+    want = {
+        "x://a.com/en/1": ("com/en/", "block"),
+        "x://www.example.com/en/71": ("example.com/en/7", "allow"),
+        "x://b.net/de/1": ("net/de/", "allow"),
+        "x://net/de/": ("net/de/", "allow"),
+        "x://a.example.net/de/7": ("net/de/", "allow"),
+        "x://a.example.net/de/8": ("example.net/de/8", "block"),
+        "x://a.org/es/q": ("org/es/", "block"),
+    }
+    urls = spark.createDataFrame(list(enumerate(want)), "page_id bigint, url string")
+    urls.write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()}
+    assert found == dict(enumerate(want.values()))
+
+
 def test_op9(spark, docs):
     got = rows(spark, "op9_token_count", "doc_id", "n_bytes", "n_tokens", "over_limit")
     assert sorted(got) == sorted((i, *op9(t)) for i, t in docs.items())
